@@ -9,6 +9,7 @@ that hold a boundary, and every row is then compared with those boundaries.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,50 +29,54 @@ def cut_points(df: DataFrame, row_id: str, seed: int, positions: Callable[[Colum
                by: str | None = None, digits: int = PREFIX_DIGITS) -> DataFrame:
     """The (hash, row id) pair at each wanted position of the hash order.
 
-    ``positions`` maps a row count to an array of positions in 0..n. The result has
+    ``positions`` maps a row count to an array of positions in 1..n. The result has
     one row per value of ``by`` (one row in all without it): a struct ``__cut`` of the
     array ``cuts`` and the row count ``rows``.
     """
-    hashed = df.select((F.col(by) if by else F.lit(0)).alias("__by"),
-                       F.col(row_id).alias("__id"), hash_key(seed, row_id).alias("__hash"))
-    bucketed = hashed.withColumn("__bucket", F.substring("__hash", 1, digits))
-    # At most 16**digits rows per group: safe for one window partition.
+    bucketed = (df.select((F.col(by) if by else F.lit(0)).alias("__by"),
+                          F.col(row_id).alias("__id"), hash_key(seed, row_id).alias("__hash"))
+                .withColumn("__bucket", F.substring("__hash", 1, digits)))
     counts = bucketed.groupBy("__by", "__bucket").agg(F.count("*").alias("__n"))
+    # At most 16**digits rows per group: safe for one window partition.
     group = Window.partitionBy("__by")
-    running = counts.withColumns({
-        "__upto": F.sum("__n").over(group.orderBy("__bucket")),
-        "__all": F.sum("__n").over(group),
-    })
-    wanted = (running.withColumn("__pos", F.explode(positions(F.col("__all"))))
-              .filter((F.col("__pos") > F.col("__upto") - F.col("__n"))
-                      & (F.col("__pos") <= F.col("__upto")))
+    before, last = F.col("__upto") - F.col("__n"), F.col("__upto")
+    wanted = (counts.withColumns({"__upto": F.sum("__n").over(group.orderBy("__bucket")),
+                                  "__all": F.sum("__n").over(group)})
+              .withColumn("__places", F.transform(
+                  F.filter(positions(F.col("__all")), lambda p: (p > before) & (p <= last)),
+                  lambda p: p - before))
+              .filter(F.size("__places") > 0)
               .select(F.col("__by").alias("__w_by"), F.col("__bucket").alias("__w_bucket"),
-                      (F.col("__pos") - F.col("__upto") + F.col("__n")).alias("__place"),
-                      F.col("__all")))
+                      "__places", "__all"))
+    # At most one row per position and class level, so it may be broadcast.
+    held = F.col("__by").eqNullSafe(F.col("__w_by")) & (F.col("__bucket") == F.col("__w_bucket"))
     in_bucket = Window.partitionBy("__by", "__bucket").orderBy("__hash", "__id")
-    held = (F.col("__by").eqNullSafe(F.col("__w_by"))) & (F.col("__bucket") == F.col("__w_bucket"))
-    ranked = (bucketed.join(wanted.select("__w_by", "__w_bucket").distinct(), held, "left_semi")
-              .withColumn("__rank", F.row_number().over(in_bucket)))
-    at = ranked.join(wanted, held & (F.col("__rank") == F.col("__place")))
+    ranked = bucketed.join(F.broadcast(wanted), held).withColumn("__rank", F.row_number().over(in_bucket))
     cut = F.struct(F.col("__hash").alias("hash"), F.col("__id").alias("id"))
-    found = at.groupBy("__by").agg(F.sort_array(F.collect_list(cut)).alias("cuts"),
-                                   F.first("__all").alias("rows"))
+    times = F.size(F.filter("__places", lambda p: p == F.col("__rank")))
+    found = (ranked.filter(F.array_contains("__places", F.col("__rank").cast("long")))
+             .select("__by", "__all", F.explode(F.array_repeat(cut, times)).alias("cut"))
+             .groupBy("__by").agg(F.sort_array(F.collect_list("cut")).alias("cuts"),
+                                  F.first("__all").alias("rows")))
     return found.select(F.struct("cuts", "rows").alias("__cut"),
                         *([F.col("__by").alias(by)] if by else []))
 
 
 def part_number(df: DataFrame, row_id: str, seed: int, positions: Callable[[Column], Column],
-                name: str, by: str | None = None) -> DataFrame:
-    """Number rows by the boundaries before them: 0 for the first part.
+                parts: int, name: str, by: str | None = None) -> DataFrame:
+    """Number rows 0..parts-1 by the boundaries before them.
 
-    Also adds ``<name>_of``, the row count of the group. Positions must be at least 1.
+    Also adds ``<name>_of``, the row count of the group. There are ``parts - 1``
+    positions, each at least 1.
     """
     cuts = cut_points(df, row_id, seed, positions, by)
     marked = (lookup_join(df, stage(cuts, "cuts"), {by: by}) if by
               else df.withColumn("__cut", cuts.scalar()))
     me = F.struct(hash_key(seed, row_id).alias("hash"), F.col(row_id).alias("id"))
+    # Written out per boundary, so that the hash is computed once per row.
+    passed = [(F.get("__cut.cuts", F.lit(i)) < me).cast("int") for i in range(parts - 1)]
     return marked.withColumns({
-        name: F.size(F.filter("__cut.cuts", lambda c: c < me)),
+        name: reduce(lambda a, b: a + b, passed),
         f"{name}_of": F.col("__cut.rows"),
     }).drop("__cut")
 
@@ -79,7 +84,7 @@ def part_number(df: DataFrame, row_id: str, seed: int, positions: Callable[[Colu
 def _split(df: DataFrame, row_id: str, seed: int, size: Callable[[Column], Column],
            by: str | None, name: str) -> DataFrame:
     # A boundary needs a row: a size of 0 uses the first row and is then ruled out.
-    part = part_number(df, row_id, seed, lambda n: F.array(F.greatest(size(n), F.lit(1))), "__part", by)
+    part = part_number(df, row_id, seed, lambda n: F.array(F.greatest(size(n), F.lit(1))), 2, "__part", by)
     return (part.withColumn(name, (F.col("__part") == 0) & (size(F.col("__part_of")) > 0))
             .drop("__part", "__part_of"))
 
@@ -105,12 +110,15 @@ def shuffled(df: DataFrame, row_id: str, seed: int = 2) -> DataFrame:
 def assign_folds(df: DataFrame, row_id: str, folds: int = 10, seed: int = 2,
                  name: str = "fold") -> DataFrame:
     """Equal-width folds 1..folds of the hash order (SMP-3, SMP-4, WIN-8)."""
+    if folds < 2:
+        return df.withColumn(name, F.lit(1))
+
     def last_rows(n: Column) -> Column:
-        # With a single row every boundary would be position 1; all rows are fold 1.
-        return F.when(n > 1, F.transform(
+        # A single row is closed by every boundary and so falls in fold 1.
+        return F.transform(
             F.sequence(F.lit(1), F.lit(folds - 1)),
-            lambda f: last_position_of_fold(f, n, folds))).otherwise(F.array(F.lit(1).cast("long")))
-    return (part_number(df, row_id, seed, last_rows, name)
+            lambda f: F.greatest(last_position_of_fold(f, n, folds), F.lit(1)))
+    return (part_number(df, row_id, seed, last_rows, folds, name)
             .withColumn(name, F.col(name) + 1).drop(f"{name}_of"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from secondlook.models import discriminant, evaluate, glm, knn, smote
 from secondlook.operators import eda
 from secondlook.operators import sampling as M
+from secondlook.session import stage
 from secondlook.workload import standins as I
 from secondlook.workload.registry import query
 from secondlook.workload.standins import hash_sql
@@ -189,9 +190,9 @@ _MOMENTS = f"""(SELECT y, CAST(count(*) AS DOUBLE) AS n, avg(x1) AS m1, avg(x2)
 
 
 @query("ml10_lda_moments", f"""
-  SELECT CAST(y AS VARCHAR) AS class, CAST(n AS BIGINT) AS n, round(n / sum(n) OVER (), 9) AS prior, f AS feature,
+  SELECT CAST(y AS VARCHAR) AS class, CAST(n AS BIGINT) AS n, round(n / total, 9) AS prior, f AS feature,
     round(CASE f WHEN 'x1' THEN m1 ELSE m2 END, 9) AS mean
-  FROM {_MOMENTS} m CROSS JOIN (VALUES ('x1'), ('x2')) v(f)""")
+  FROM {_MOMENTS} m CROSS JOIN (SELECT sum(n) AS total FROM {_MOMENTS} m) CROSS JOIN (VALUES ('x1'), ('x2')) v(f)""")
 def ml10(spark, sf):
     rows = points(spark, sf)
     fit = discriminant.fit_lda(rows, "y", ["x1", "x2"])
@@ -243,7 +244,7 @@ def eda6(spark, sf):
 # --- nearest neighbours ---------------------------------------------------------------------
 
 def knn_split(spark, sf):
-    flagged = M.exact_split(points(spark, sf), "vec_id", 0.8, 123)
+    flagged = stage(M.exact_split(points(spark, sf), "vec_id", 0.8, 123), "knn-split")
     return flagged.filter("is_train"), flagged.filter("NOT is_train")
 
 
