@@ -28,7 +28,7 @@ def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_MIN_ROWS,
     Fewer than ``1 / share`` rows: each key holds more than that share of the table.
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    limit = counts.agg(F.greatest(F.lit(float(min_rows)),
+    limit = counts.agg(F.greatest(F.lit(float(max(min_rows, 1))),
                                   F.lit(share) * F.coalesce(F.sum("__n"), F.lit(0))))
     return (counts.withColumn("__limit", limit.scalar())
             .filter(F.col("__n") > F.col("__limit"))
