@@ -17,6 +17,7 @@ from secondlook.functions.scalars import class_at
 from secondlook.models.evaluate import auc, roc_points, sensitivity_specificity
 from secondlook.operators.aggregates import union_by_name
 from secondlook.operators.sampling import fold_parts
+from secondlook.session import stage
 
 TOLERANCE = 1e-10
 MAX_ITERATIONS = 50
@@ -126,8 +127,9 @@ def fold_predictions(df: DataFrame, formula: str, outcome: str, folds: int = 10,
                      train_on: str = "fold", scale: bool = False) -> DataFrame:
     """Fit on each fold's training part and score its validation part (ML-16, ML-18).
 
-    Returns ``(fold, outcome, probability)``; the fits run as parallel jobs over one
-    cached copy of the model columns.
+    Returns ``(fold, outcome, probability)``, written out once because evaluation reads
+    it several times. The fits run as parallel jobs over one cached copy of the model
+    columns.
     """
     predictors = formula.split("~")[1].strip()
     names = ([c for c in df.columns if c not in ("fold", outcome)] if predictors == "."
@@ -143,7 +145,9 @@ def fold_predictions(df: DataFrame, formula: str, outcome: str, folds: int = 10,
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         parts = list(pool.map(one, range(1, folds + 1)))
-    return union_by_name(*parts)
+    scored = stage(union_by_name(*parts), "fold-predictions")
+    rows.unpersist()
+    return scored
 
 
 def fold_auc(df: DataFrame, formula: str, outcome: str, folds: int = 10,

@@ -41,27 +41,49 @@ def _with_pieces(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
     return df.join(F.broadcast(hot), same_keys(pairs), "left").drop(*[h for _, h in pairs])
 
 
+def _pieces(df: DataFrame, keys: list[str], hot: DataFrame | None, own: bool, name: str) -> DataFrame:
+    """Add piece numbers for the hot keys of one side of a join.
+
+    Rows of that side get one piece by a hash of the whole row, the same on every
+    retry; rows of the other side are repeated for all pieces of their key.
+    """
+    if hot is None:
+        return df.withColumn(name, F.lit(0))
+    marked = _with_pieces(df, keys, hot)
+    if own:
+        row_hash = F.pmod(F.xxhash64(*df.columns), F.col("__pieces").cast("long")).cast("int")
+        return marked.withColumn(name, F.coalesce(row_hash, F.lit(0))).drop("__pieces")
+    every = F.sequence(F.lit(0), F.coalesce(F.col("__pieces"), F.lit(1)) - 1)
+    return marked.withColumn(name, F.explode(every)).drop("__pieces")
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
-                min_rows: int = HOT_MIN_ROWS, share: float = HOT_SHARE) -> DataFrame:
-    """Null-safe equi-join that cuts every hot key of ``left`` into pieces.
+                min_rows: int = HOT_MIN_ROWS, share: float = HOT_SHARE,
+                right_hot: bool = False) -> DataFrame:
+    """Null-safe equi-join that cuts every hot key into pieces.
 
-    A left row of a hot key goes to one piece, chosen by a hash of the whole row
-    (the same on every retry); the right rows of that key go to all of its pieces.
-    ``how`` may be inner, left, left_semi or left_anti. Non-key names must differ.
+    Hot keys of ``left`` are always cut, those of ``right`` with ``right_hot``.
+    ``how`` may be inner, left, left_semi or left_anti, with ``right_hot`` inner or
+    left. Non-key names must differ.
     """
-    hot = hot_keys(left, on, min_rows, share)
-    row_hash = F.pmod(F.xxhash64(*left.columns), F.col("__pieces").cast("long")).cast("int")
-    lhs = (_with_pieces(left, on, hot)
-           .withColumn("__piece", F.coalesce(row_hash, F.lit(0))).drop("__pieces"))
-    rhs = (_with_pieces(right, on, hot)
-           .withColumn("__piece_r", F.explode(
-               F.sequence(F.lit(0), F.coalesce(F.col("__pieces"), F.lit(1)) - 1)))
-           .drop("__pieces")
-           .withColumnsRenamed({k: f"__r_{k}" for k in on}))
-    condition = same_keys([(k, f"__r_{k}") for k in on])
-    condition &= F.col("__piece") == F.col("__piece_r")
+    if right_hot and how == "left":
+        # A piece of a hot right key may be empty, so unmatched rows are found apart.
+        matched = salted_join(left, right, on, "inner", min_rows, share, right_hot=True)
+        single = salted_join(left, right.select(*on).distinct(), on, "left_anti", min_rows, share)
+        return matched.unionByName(single, allowMissingColumns=True)
+    if right_hot and how != "inner":
+        raise ValueError("right_hot needs an inner or left join")
+    hot_left = hot_keys(left, on, min_rows, share)
+    hot_right = hot_keys(right, on, min_rows, share) if right_hot else None
+    lhs = _pieces(left, on, hot_left, True, "__l")
+    lhs = _pieces(lhs, on, hot_right, False, "__r")
+    rhs = _pieces(right, on, hot_left, False, "__l_r")
+    rhs = _pieces(rhs, on, hot_right, True, "__r_r")
+    rhs = rhs.withColumnsRenamed({k: f"__k_{k}" for k in on})
+    condition = same_keys([(k, f"__k_{k}") for k in on])
+    condition &= (F.col("__l") == F.col("__l_r")) & (F.col("__r") == F.col("__r_r"))
     return (lhs.join(rhs, condition, how)
-            .drop("__piece", "__piece_r", *[f"__r_{k}" for k in on]))
+            .drop("__l", "__r", "__l_r", "__r_r", *[f"__k_{k}" for k in on]))
 
 
 def is_small(df: DataFrame, rows: int = SMALL_LOOKUP_ROWS) -> bool:
@@ -104,10 +126,19 @@ def suffixed(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFram
             right.withColumnsRenamed({c: f"{c}_y" for c in clash}))
 
 
-def left_join(left: DataFrame, right: DataFrame, on: list[str], **hot) -> DataFrame:
-    """Left join on shared keys with ``_x`` / ``_y`` suffixes (JN-1, JN-7)."""
+def left_join(left: DataFrame, right: DataFrame, on: list[str], unique: str | None = None,
+              **hot) -> DataFrame:
+    """Left join on shared keys with ``_x`` / ``_y`` suffixes (JN-1, JN-7).
+
+    ``unique="right"`` says the right side has one row per key, ``"both"`` that both
+    do, so that no key of that side can be hot.
+    """
     a, b = suffixed(left, right, on)
-    return salted_join(a, b, on, "left", **hot)
+    if unique == "both":
+        b = b.withColumnsRenamed({k: f"__k_{k}" for k in on})
+        return (a.join(b, same_keys([(k, f"__k_{k}") for k in on]), "left")
+                .drop(*[f"__k_{k}" for k in on]))
+    return salted_join(a, b, on, "left", right_hot=unique != "right", **hot)
 
 
 def semi_join(left: DataFrame, right: DataFrame, on: list[str], **hot) -> DataFrame:

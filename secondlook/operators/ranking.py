@@ -87,7 +87,8 @@ def running_totals(df: DataFrame, order: str, sums: dict[str, str], by: list[str
     match = F.col("__range") == F.col("__b_range")
     for b in by:
         match &= F.col(b).eqNullSafe(F.col(f"__b_{b}"))
-    return (rows.join(offsets, match)
+    # Without groups there is one offset per range; with them Spark checks the size.
+    return (rows.join(offsets if by else F.broadcast(offsets), match)
             .withColumns({new: F.col(f"__in_{new}") + F.col(f"__b4_{new}") for new in sums})
             .select(*df.columns, *sums))
 

@@ -65,7 +65,7 @@ def _trimmed(df: DataFrame) -> DataFrame:
 
 
 def before_after(cards_before: DataFrame, cards_after: DataFrame, occupation: DataFrame,
-                 province: DataFrame, **hot) -> DataFrame:
+                 province: DataFrame) -> DataFrame:
     """Latest rejected application per ID (``_x``) against the earliest one of the first
     year (``_y``), with change features (Q4)."""
     rejected = union_by_name(cards_before, cards_after).filter(equals("Branch_Code", REJECT_BRANCH))
@@ -73,7 +73,7 @@ def before_after(cards_before: DataFrame, cards_after: DataFrame, occupation: Da
                                occupation, province))
     earliest = _trimmed(enriched(earliest_per_key(cards_before, "ID", "ApproveDate", "row_id"),
                                  occupation, province))
-    both = left_join(latest, earliest, ["ID"], **hot)
+    both = left_join(latest, earliest, ["ID"], unique="both")
     both = apply_to(both, ["Appl_In_Date_x", "Appl_In_Date_y"], S.day_first_date)
     both = apply_to(both, ["ApproveDate_x", "ApproveDate_y", "DOB_x", "DOB_y"], S.to_date_only)
     return (both.filter(known("OccupationCode_x", "OccupationCode_y"))

@@ -94,7 +94,7 @@ def jn7(spark, sf):
         return J.lookup_join(frame.select("row_id", "ID", "Occupation"), occupation,
                              {"Occupation": "Description"})
     right = coded(I.CC16.frame(spark, sf)).groupBy("ID").agg(F.min("Code").alias("Code"))
-    both = J.left_join(coded(I.CC15.frame(spark, sf)), right, ["ID"])
+    both = J.left_join(coded(I.CC15.frame(spark, sf)), right, ["ID"], unique="right")
     return both.filter("Code_x IS NOT NULL AND Code_y IS NOT NULL").select("row_id", "Code_x", "Code_y")
 
 

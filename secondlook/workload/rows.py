@@ -9,6 +9,7 @@ from secondlook.models import elasticnet
 from secondlook.operators import ranking as R
 from secondlook.operators import sampling as M
 from secondlook.plans import cards, unified
+from secondlook.session import stage
 from secondlook.workload import standins as I
 from secondlook.workload.registry import query
 from secondlook.workload.standins import hash_sql
@@ -133,7 +134,7 @@ def smp4(spark, sf):
     CAST(sum(CASE WHEN f.fold = k.k THEN o_orderkey ELSE 0 END) AS BIGINT) AS train_key_sum
   FROM f CROSS JOIN (SELECT CAST(unnest(range(1, 11)) AS INTEGER) AS k) k GROUP BY k.k""")
 def smp5(spark, sf):
-    folded = M.assign_folds(I.read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 10, 2)
+    folded = stage(M.assign_folds(I.read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 10, 2))
     tables = []
     for i in range(1, 11):
         train, rest = M.fold_parts(folded, i)

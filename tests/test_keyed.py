@@ -77,6 +77,25 @@ def test_salted_join_equals_plain_join(spark):
         assert values(J.salted_join(left, right, ["k"], how, **HOT)) == values(plain), how
 
 
+def test_both_sides_may_be_hot(spark):
+    left = skewed(spark)
+    right = left.select("k", F.col("row_id").alias("v")).unionByName(
+        spark.createDataFrame([("only right", 1)], "k string, v int"))
+    left = left.unionByName(spark.createDataFrame([(900, "only left", 0)], "row_id int, k string, m int"))
+    for how in ("inner", "left"):
+        plain = left.join(right.withColumnRenamed("k", "k2"), F.col("k").eqNullSafe(F.col("k2")), how).drop("k2")
+        assert values(J.salted_join(left, right, ["k"], how, right_hot=True, **HOT)) == values(plain)
+    assert values(J.left_join(left, right, ["k"], **HOT)) == values(plain)
+
+
+def test_left_join_of_unique_sides(spark):
+    a = spark.createDataFrame([("a", 1), (None, 2), ("c", 3)], "k string, v int")
+    b = spark.createDataFrame([("a", 5), (None, 6)], "k string, v int")
+    want = sorted([("a", 1, 5), (None, 2, 6), ("c", 3, None)], key=repr)
+    for unique in ("both", "right", None):
+        assert values(J.left_join(a, b, ["k"], unique)) == want
+
+
 def test_salted_join_spreads_the_hot_key(spark):
     left = skewed(spark)
     hot = J.hot_keys(left, ["k"], **HOT).collect()
