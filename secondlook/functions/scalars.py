@@ -119,6 +119,11 @@ def class_at(probability: Column | str, threshold: float = 0.5) -> Column:
     return (_c(probability) >= F.lit(threshold)).cast("int")
 
 
+def label_number(label: Column | str) -> Column:
+    """The number a class label spells, not its position among the levels (FN-13)."""
+    return text_to_double(_c(label).cast("string"))
+
+
 def share_of(p: float, n: Column | str) -> Column:
     return F.floor(F.lit(p) * _c(n))  # FN-24
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from secondlook.functions.scalars import records
 from secondlook.operators.aggregates import contingency, union_by_name
 from secondlook.operators.ranking import running_totals
+from secondlook.session import stage
 
 
 def confusion(df: DataFrame, predicted: str, actual: str, levels: tuple = (0, 1)) -> DataFrame:
@@ -19,10 +20,12 @@ def confusion(df: DataFrame, predicted: str, actual: str, levels: tuple = (0, 1)
 
 
 def _score_groups(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
+    """Positives and negatives per distinct score, written out: the scores, often a
+    model's output, are computed once for the passes that follow."""
     scored = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    return (scored.groupBy(*by, F.col(score).cast("double").alias("score"))
-            .agg(F.sum(F.col(label).cast("long")).alias("tp"),
-                 F.sum(1 - F.col(label).cast("long")).alias("fp")))
+    return stage(scored.groupBy(*by, F.col(score).cast("double").alias("score"))
+                 .agg(F.sum(F.col(label).cast("long")).alias("tp"),
+                      F.sum(1 - F.col(label).cast("long")).alias("fp")), "score-groups")
 
 
 def roc_points(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:

@@ -99,9 +99,9 @@ def exact_quantiles(df: DataFrame, x: str, by: str, probabilities: list[float])
     Values are counted once each and ranked by running totals, so no class is held
     in one task as an exact percentile aggregate would.
     """
-    counts = (df.filter(F.col(x).isNotNull())
-              .groupBy(F.col(by).alias("__by"), F.col(x).cast("double").alias("__x"))
-              .agg(F.count("*").alias("__n")))
+    counts = stage(df.filter(F.col(x).isNotNull())
+                   .groupBy(F.col(by).alias("__by"), F.col(x).cast("double").alias("__x"))
+                   .agg(F.count("*").alias("__n")), "value-counts")
     ranked = running_totals(counts, "__x", {"__upto": "__n"}, ["__by"])
     totals = counts.groupBy("__by").agg(F.sum("__n").alias("__all"))
     ranked = lookup_join(ranked, totals, {"__by": "__by"})

@@ -136,6 +136,50 @@ def ml5(spark, sf):
     return rounded(glm.predict(model, rows).select("row_id", "probability"), 8, "probability")
 
 
+@query("ml5_held_out_probabilities", f"""
+  WITH s AS (SELECT *, row_number() OVER (ORDER BY {hash_sql(123, 'row_id')}, row_id)
+    <= floor(0.8 * count(*) OVER ()) AS is_train FROM {I.SCORED.sql} t),
+  p AS (SELECT called, avg(label) AS p FROM s WHERE is_train GROUP BY called)
+  SELECT row_id, round(p, 8) AS probability, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS predicted
+  FROM s JOIN p USING (called) WHERE NOT is_train""")
+def ml5_held_out(spark, sf):
+    rows = scored(spark, sf).select("row_id", "label", F.col("called").cast("double").alias("called"))
+    flagged = stage(M.exact_split(rows, "row_id", 0.8, 123))
+    model = glm.fit_glm(flagged.filter("is_train").withColumnRenamed("label", "hit"), "hit ~ called")
+    test = glm.classify(glm.predict(model, flagged.filter("NOT is_train")))
+    return rounded(test.select("row_id", "probability", "predicted"), 8, "probability")
+
+
+# With one binary predictor the area is the mean of sensitivity and specificity, or its
+# complement when the fitted slope falls.
+_FOLD_AUC = f"""WITH f AS (SELECT label, called, greatest(1, (10 * (i - 1) + n - 2) // (n - 1)) AS fold FROM (
+    SELECT *, row_number() OVER (ORDER BY {hash_sql(2, 'row_id')}, row_id) AS i, count(*) OVER () AS n
+    FROM {I.SCORED.sql} t)),
+  k AS (SELECT CAST(unnest(range(1, 11)) AS INTEGER) AS k),
+  t AS (SELECT k, avg(CASE WHEN called = 1 THEN label END) > avg(CASE WHEN called = 0 THEN label END) AS up
+    FROM f JOIN k ON {{train}} GROUP BY k),
+  v AS (SELECT k, (avg(CASE WHEN label = 1 THEN called END) + avg(CASE WHEN label = 0 THEN 1 - called END)) / 2 AS m
+    FROM f JOIN k ON NOT ({{train}}) GROUP BY k),
+  a AS (SELECT k, CASE WHEN up THEN m ELSE 1 - m END AS auc FROM t JOIN v USING (k))"""
+
+
+def _folded(spark, sf):
+    rows = scored(spark, sf).select("row_id", F.col("label").alias("hit"), F.col("called").cast("double").alias("called"))
+    return stage(M.assign_folds(rows, "row_id", 10, 2))
+
+
+@query("ml18_fold_auc", _FOLD_AUC.format(train="f.fold = k.k") + " SELECT k AS fold, round(auc, 9) AS auc FROM a")
+def ml18(spark, sf):
+    return rounded(glm.fold_auc(_folded(spark, sf), "hit ~ called", "hit"), 9, "auc")
+
+
+@query("ml16_cross_validated_roc", _FOLD_AUC.format(train="f.fold <> k.k") + """
+  SELECT 'roc' AS measure, round(avg(auc), 8) AS mean, round(stddev_samp(auc), 8) AS sd FROM a""")
+def ml16(spark, sf):
+    report = glm.cross_validate(_folded(spark, sf), "hit ~ called", "hit")
+    return rounded(report.filter("measure = 'roc'"), 8, "mean", "sd")
+
+
 @query("ml19_analysis_of_deviance", f"""
   SELECT 'NULL' AS term, CAST(NULL AS INTEGER) AS df, CAST(NULL AS DOUBLE) AS deviance,
     CAST(a+b+c+d-1 AS INTEGER) AS resid_df, round({_NULL_DEV}, 5) AS resid_dev FROM {_TWO} t

@@ -55,6 +55,25 @@ def fn_flags(spark, sf):
         S.difference("Monthly_Salary", "spending").alias("gap"))
 
 
+@query("fn13_label_numbers", "SELECT vec_id, CAST(label AS DOUBLE) AS label FROM embeddings")
+def fn13(spark, sf):
+    labels = I.read(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"))
+    return labels.withColumn("label", S.label_number("label"))
+
+
+@query("fn24_share_of_group", """
+  SELECT o_orderpriority, CAST(floor(0.8e0 * count(*)) AS BIGINT) AS size FROM orders GROUP BY o_orderpriority""")
+def fn24(spark, sf):
+    counts = I.read(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    return counts.select("o_orderpriority", S.share_of(0.8, "n").alias("size"))
+
+
+@query("fn25_sequences", """
+  SELECT p_partkey, CAST(unnest(range(1, p_size + 1)) AS INTEGER) AS i FROM part""")
+def fn25(spark, sf):
+    return I.read(spark, sf, "part").select("p_partkey", F.explode(F.sequence(F.lit(1), "p_size")).alias("i"))
+
+
 @query("fn14_level_numbers", """
   SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) AS INTEGER) AS level FROM orders""")
 def fn14(spark, sf):
