@@ -59,21 +59,21 @@ def _pieces(df: DataFrame, keys: list[str], hot: DataFrame | None, own: bool, na
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
                 min_rows: int = HOT_MIN_ROWS, share: float = HOT_SHARE,
-                right_hot: bool = False) -> DataFrame:
+                left_hot: bool = True, right_hot: bool = False) -> DataFrame:
     """Null-safe equi-join that cuts every hot key into pieces.
 
-    Hot keys of ``left`` are always cut, those of ``right`` with ``right_hot``.
+    ``left_hot`` and ``right_hot`` say on which sides a key may have many rows.
     ``how`` may be inner, left, left_semi or left_anti, with ``right_hot`` inner or
     left. Non-key names must differ.
     """
     if right_hot and how == "left":
         # A piece of a hot right key may be empty, so unmatched rows are found apart.
-        matched = salted_join(left, right, on, "inner", min_rows, share, right_hot=True)
-        single = salted_join(left, right.select(*on).distinct(), on, "left_anti", min_rows, share)
+        matched = salted_join(left, right, on, "inner", min_rows, share, left_hot, True)
+        single = salted_join(left, right.select(*on).distinct(), on, "left_anti", min_rows, share, left_hot)
         return matched.unionByName(single, allowMissingColumns=True)
     if right_hot and how != "inner":
         raise ValueError("right_hot needs an inner or left join")
-    hot_left = hot_keys(left, on, min_rows, share)
+    hot_left = hot_keys(left, on, min_rows, share) if left_hot else None
     hot_right = hot_keys(right, on, min_rows, share) if right_hot else None
     lhs = _pieces(left, on, hot_left, True, "__l")
     lhs = _pieces(lhs, on, hot_right, False, "__r")
@@ -130,15 +130,12 @@ def left_join(left: DataFrame, right: DataFrame, on: list[str], unique: str | No
               **hot) -> DataFrame:
     """Left join on shared keys with ``_x`` / ``_y`` suffixes (JN-1, JN-7).
 
-    ``unique="right"`` says the right side has one row per key, ``"both"`` that both
-    do, so that no key of that side can be hot.
+    ``unique`` is "left", "right" or "both" when those sides have one row per key, so
+    that none of their keys can be hot.
     """
     a, b = suffixed(left, right, on)
-    if unique == "both":
-        b = b.withColumnsRenamed({k: f"__k_{k}" for k in on})
-        return (a.join(b, same_keys([(k, f"__k_{k}") for k in on]), "left")
-                .drop(*[f"__k_{k}" for k in on]))
-    return salted_join(a, b, on, "left", right_hot=unique != "right", **hot)
+    return salted_join(a, b, on, "left", left_hot=unique not in ("left", "both"),
+                       right_hot=unique not in ("right", "both"), **hot)
 
 
 def semi_join(left: DataFrame, right: DataFrame, on: list[str], **hot) -> DataFrame:

@@ -62,7 +62,7 @@ def card_leads(lead: DataFrame) -> DataFrame:
 
 def lead_card_check(lead: DataFrame, cards: DataFrame, **hot) -> DataFrame:
     """Card leads left-joined to their card application rows."""
-    return left_join(card_leads(lead), cards, ["ID"], **hot)
+    return left_join(card_leads(lead), cards, ["ID"], unique="left", **hot)
 
 
 def match_rate(lead: DataFrame, cards: DataFrame) -> DataFrame:

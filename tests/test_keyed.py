@@ -92,7 +92,7 @@ def test_left_join_of_unique_sides(spark):
     a = spark.createDataFrame([("a", 1), (None, 2), ("c", 3)], "k string, v int")
     b = spark.createDataFrame([("a", 5), (None, 6)], "k string, v int")
     want = sorted([("a", 1, 5), (None, 2, 6), ("c", 3, None)], key=repr)
-    for unique in ("both", "right", None):
+    for unique in ("both", "left", "right", None):
         assert values(J.left_join(a, b, ["k"], unique)) == want
 
 
