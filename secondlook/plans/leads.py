@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from secondlook.functions.predicates import known, not_loan
 from secondlook.functions.scalars import records
-from secondlook.operators.aggregates import count_by, metrics
+from secondlook.operators.aggregates import metrics
 from secondlook.operators.joins import left_join
 from secondlook.operators.keyed import first_per_key, pair_with_first
+from secondlook.operators.ordering import sort_keys
 
 MONTH, SOURCE, PRODUCT = "Data_Mth", "AGENT_SOURCE_CODE", "Product_CC_PL_RL"
 
@@ -37,15 +38,26 @@ def same_flags(pairs: DataFrame) -> dict:
             "same_product": F.col(f"{PRODUCT}_x") == F.col(f"{PRODUCT}_y")}
 
 
-def duplicate_profile(lead: DataFrame, **hot) -> DataFrame:
+def duplicate_profile(lead: DataFrame) -> DataFrame:
     """Counts of later leads by agreement with the first: month, source, product, and
     source x product. A comparison with a missing side is a group of its own.
 
-    The pairs are counted once by all three flags (at most 27 rows) and the four
-    tables are summed from those.
+    The same counts as from ``repeat_pairs``, without its join: leads are first counted
+    by ID, month, source and product, which shrinks a hot ID to a few rows before it is
+    shuffled. The first lead of an ID lies in the group with the earliest month and then
+    the smallest row id; its own row is taken off that group.
     """
-    pairs = repeat_pairs(lead, **hot)
-    cells = count_by(pairs, **same_flags(pairs))
+    compared = [MONTH, SOURCE, PRODUCT]
+    groups = (with_id(lead).groupBy("ID", *compared)
+              .agg(F.count("*").alias("n"), F.min("row_id").alias("row_id")))
+    in_order = Window.partitionBy("ID").orderBy(*sort_keys(MONTH, "row_id"))
+    first = F.first(F.struct(*compared)).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    beside = groups.select(
+        *[F.col(c).alias(f"{c}_y") for c in compared], first.alias("first"),
+        (F.col("n") - F.when(F.row_number().over(in_order) == 1, 1).otherwise(0)).alias("n"))
+    later = beside.filter("n > 0").withColumns({f"{c}_x": F.col(f"first.{c}") for c in compared})
+    cells = (later.groupBy(*[flag.alias(name) for name, flag in same_flags(later).items()])
+             .agg(F.sum("n").alias("n")))  # at most 27 rows
     m, s, p = F.col("same_month"), F.col("same_source"), F.col("same_product")
     gone = F.lit(None).cast("boolean")
     views = records(["comparison", "first_flag", "second_flag"],

@@ -142,6 +142,12 @@ def test_profile_identities(spark):
     assert counts["repeats"] == counts["total"] - counts["distinct"]
     for comparison in ("month", "source", "product", "source_product"):
         assert sum(r.n for r in profile if r.comparison == comparison) == counts["repeats"]
+    pairs = leads.repeat_pairs(lead, **HOT)
+    cells = pairs.select(*[flag.alias(name) for name, flag in leads.same_flags(pairs).items()]).collect()
+    assert Counter(r.same_month for r in cells) == {
+        r.first_flag: r.n for r in profile if r.comparison == "month"}
+    assert Counter((r.same_source, r.same_product) for r in cells) == {
+        (r.first_flag, r.second_flag): r.n for r in profile if r.comparison == "source_product"}
     by_source = Counter()
     for r in profile:
         if r.comparison == "source_product":
