@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def local_session(cpus: int = 8, app: str = "secondlook") -> SparkSession:
     """A single-machine session for tests and the benchmark.
 
@@ -37,16 +40,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def stage_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Unset on a cluster is an error: a folder of one machine is lost with it.
+    Unset on a cluster is an error: a folder of one machine is lost with it. Unset on
+    ``local[*]``, each application gets one temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="secondlook-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:  # spark.checkpoint.dir is static: a running session can't be given one
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="secondlook-")
+    return _LOCAL_FOLDERS[application]
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
