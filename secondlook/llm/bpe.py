@@ -1,7 +1,7 @@
 """Byte-level BPE: texts to token ids and back.
 
-Pieces come from ``pretokenise``; merges run once per distinct piece of a worker and are kept in
-a bounded cache. Ids travel as packed little-endian unsigned 32-bit integers together with the byte
+Pieces come from ``pretokenise``; new pieces of a chunk are
+merged together and kept in a bounded cache. Ids travel as packed little-endian unsigned 32-bit integers together with the byte
 offset at which each token ends, so any span of tokens can be decoded and located in the text.
 """
 
@@ -15,11 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from secondlook.llm.common import binary_array, map_arrow, texts_of, worker_memory
+from secondlook.llm.common import PieceCache, binary_array, map_arrow, texts_of, worker_memory
 from secondlook.llm.pretokenise import boundaries
 
-CACHED_PIECES, CACHED_LENGTH = 200_000, 64
-IDS = np.dtype("<u4")
+IDS, NEVER = np.dtype("<u4"), 1 << 40
 
 
 def read_ranks(path: str) -> bytes:
@@ -28,8 +27,8 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
-class Pieces(dict):
-    """piece -> packed ids; keeps at most ``CACHED_PIECES`` short pieces."""
+class Pieces(PieceCache):
+    """piece -> packed ids by a rank file."""
 
     def __init__(self, ranks: bytes):
         super().__init__()
@@ -37,15 +36,68 @@ class Pieces(dict):
         self.tokens = {i: token for token, i in self.ranks.items()}
         self.lengths = np.zeros(max(self.tokens) + 1, np.int64)
         self.lengths[list(self.tokens)] = [len(t) for t in self.tokens.values()]
-
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        packed = np.array([self.ranks[t] for t in self.merge(raw)], IDS).tobytes()
-        if len(raw) <= CACHED_LENGTH:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[piece] = packed
-        return packed
+        self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)])
+        pairs = sorted((l << 32 | r, i) for token, i in self.ranks.items() for k in range(1, len(token))
+                       if (l := self.ranks.get(token[:k])) is not None and (r := self.ranks.get(token[k:])) is not None)
+        self.pairs, self.joined = np.array([k for k, _ in pairs]), np.array([i for _, i in pairs])
+
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        raws = [p.encode() for p in pieces]
+        out = [b"" if (i := self.ranks.get(raw)) is None else i.to_bytes(4, "little") for raw in raws]
+        short = [k for k, raw in enumerate(raws) if not out[k] and len(raw) <= self.longest]
+        for k, packed in zip(short, self.merge_many([raws[k] for k in short])):
+            out[k] = packed
+        for k, raw in enumerate(raws):
+            if not out[k]:
+                out[k] = np.array([self.ranks[t] for t in self.merge(raw)], IDS).tobytes()
+        return out
+
+    def joint(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The id that two neighbours join to, which is its rank too; NEVER if they can't."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), self.pairs.size - 1)
+        return np.where(self.pairs[at] == key, self.joined[at], NEVER)
+
+    def merge_many(self, raws: list[bytes]) -> list[bytes]:
+        """All pieces at once: each round joins the leftmost pair of lowest rank of every piece."""
+        if not raws:
+            return []
+        sizes = np.array([len(r) for r in raws])
+        ids = self.of_byte[np.frombuffer(b"".join(raws), np.uint8)]
+        owner = np.repeat(np.arange(sizes.size), sizes)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        rank = np.full(ids.size, NEVER)  # of each place with the next one of its piece
+        rank[:-1] = np.where(owner[1:] == owner[:-1], self.joint(ids[:-1], ids[1:]), NEVER)
+        while ids.size:
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            count = np.diff(np.append(first, ids.size))
+            low = np.minimum.reduceat(rank, first)
+            going = low < NEVER
+            if not going.all():  # these pieces have no more pairs
+                stay = np.repeat(going, count)
+                done.append((owner[~stay], ids[~stay]))
+                ids, owner, rank, low = ids[stay], owner[stay], rank[stay], low[going]
+                if not ids.size:
+                    break
+                count = count[going]
+                first = np.cumsum(count) - count
+            hits = np.flatnonzero(rank == np.repeat(low, count))
+            hits = hits[np.append(True, owner[hits[1:]] != owner[hits[:-1]])]  # the leftmost of each piece
+            ids[hits] = low
+            keep = np.ones(ids.size, bool)
+            keep[hits + 1] = False
+            at = hits - np.arange(hits.size)  # places after removal: each earlier piece has lost one
+            ids, owner, rank = ids[keep], owner[keep], rank[keep]
+            for k in (at, at - 1):
+                k = k[k >= 0]
+                inside = np.zeros(k.size, bool)
+                inside[k + 1 < ids.size] = owner[k[k + 1 < ids.size] + 1] == owner[k[k + 1 < ids.size]]
+                rank[k] = NEVER
+                rank[k[inside]] = self.joint(ids[k[inside]], ids[k[inside] + 1])
+        owner, ids = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(owner, kind="stable")
+        packed, ends = ids[order].astype(IDS).tobytes(), np.cumsum(np.bincount(owner, minlength=sizes.size)) * 4
+        return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
     def merge(self, raw: bytes) -> list[bytes]:
         """Join the neighbours of lowest rank, leftmost first, until none can be joined.
@@ -91,11 +143,11 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text")
     def run(batch: pa.RecordBatch) -> dict:
         bpe, finder = _pieces(ranks.value), boundaries()
         ids, ends, counts = [], [], []
-        for own in finder.pieces([raw.decode() for raw in texts_of(batch.column(1))]):
-            packed = b"".join(map(bpe.__getitem__, own))
-            ids.append(packed)
-            ends.append(np.cumsum(bpe.lengths[np.frombuffer(packed, IDS)]).astype(IDS).tobytes())
-            counts.append(len(packed) // 4)
+        for chunk in finder.chunks([raw.decode() for raw in texts_of(batch.column(1))]):
+            for packed in bpe.encode(chunk):
+                ids.append(packed)
+                ends.append(np.cumsum(bpe.lengths[np.frombuffer(packed, IDS)]).astype(IDS).tobytes())
+                counts.append(len(packed) // 4)
         return {"doc_id": batch.column(0), "n_tokens": pa.array(counts, pa.int64()),
                 "ids": binary_array(ids), "ends": binary_array(ends)}
 

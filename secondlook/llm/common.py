@@ -82,5 +82,26 @@ class Numbered(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+class PieceCache(dict):
+    """piece -> packed ids. New pieces of a chunk are learnt together; short ones are kept, up to ``limit``."""
+
+    limit, longest = 300_000, 64
+
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        raise NotImplementedError
+
+    def encode(self, documents: list[list[str]]) -> list[bytes]:
+        """The packed ids of each document of a chunk, given as its pieces."""
+        if len(self) > self.limit:
+            self.clear()
+        new = [p for p in set().union(*documents) if p not in self]
+        self.update(zip(new, self.learn(new)))
+        packed = [b"".join(map(self.__getitem__, own)) for own in documents]
+        for p in new:
+            if len(p) > self.longest:
+                del self[p]
+        return packed
+
+
 def no_text(text: str = "text") -> F.Column:
     return F.coalesce(F.col(text), F.lit(""))

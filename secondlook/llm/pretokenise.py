@@ -24,7 +24,7 @@ LETTER, NUMBER, OTHER, SPACE, BLANK, END = range(6)  # classes; SPACE is U+0020,
 # letters, a space and another blank before a piece, white space inside a run or at the end, the end
 SYM_LETTER, SYM_NUMBER, SYM_OTHER, SYM_ONE, SYM_TWO, SYM_SPACE, SYM_BLANK, SYM_RUN, SYM_END = range(9)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_RUN, NEED_ONE, NEED_TWO = range(8)
-BLOCK, CHUNK = 128, 1 << 20
+BLOCK, CHUNK = 128, 1 << 18
 
 
 def _next(state: int, sym: int) -> tuple[int, bool]:
@@ -112,6 +112,11 @@ class Boundaries:
 
     def pieces(self, texts: list[str]) -> Iterator[list[str]]:
         """The pieces of each text, in order; joined they are the text."""
+        for chunk in self.chunks(texts):
+            yield from chunk
+
+    def chunks(self, texts: list[str]) -> Iterator[list[list[str]]]:
+        """The same, some texts at a time."""
         at = 0
         while at < len(texts):
             to, size = at, 0
@@ -127,11 +132,12 @@ class Boundaries:
             state = self.states(self.of_symbol[symbol])
             begin = np.flatnonzero(self.starts[state.astype(np.intp) * 9 + symbol])
             cut = np.searchsorted(begin, ends).tolist()
-            begin, low = begin.tolist(), 0
+            begin, low, chunk = begin.tolist(), 0, []
             for high, end in zip(cut, ends.tolist()):
                 own = begin[low:high]
                 low = high
-                yield [joined[a:b] for a, b in zip(own, [*own[1:], end])]
+                chunk.append([joined[a:b] for a, b in zip(own, [*own[1:], end])])
+            yield chunk
 
 
 def boundaries() -> Boundaries:

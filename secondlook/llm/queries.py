@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secondlook.llm import bpe, compression, records
+from secondlook.llm import bpe, compression, fertility, kdtree, records
 from secondlook.llm.common import table
 from secondlook.session import stage_path
 
@@ -30,7 +30,7 @@ def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = stage_path(spark, "token-records")
     records.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
-    return records.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return records.read(spark, folder, ids_crc32=F.crc32("ids"))
 
 
 @query
@@ -39,3 +39,18 @@ def op8_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = compression.fit(documents, labels, may_learn=~compression.held_out())
     return (compression.score(documents, model, 0.7)
             .select("doc_id", compression.held_out().alias("held_out"), "score", "predicted"))
+
+
+@query
+def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (fertility.judge(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                            public_tokenizers.path("piece_bpe_32k.model"))
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                    *fertility.MEASURES))
+
+
+@query
+def op9_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.shard(table(spark, sf_dir, "documents"), 40).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
+        F.lit(None).cast("int").alias("grown_shard"))

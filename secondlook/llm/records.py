@@ -28,14 +28,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from secondlook.llm.common import binary_array, map_arrow, no_text, small_batches, texts_of, worker_memory
+from secondlook.llm.common import PieceCache, binary_array, map_arrow, no_text, small_batches, texts_of, worker_memory
 from secondlook.llm.pretokenise import boundaries
 
 END_ID = 0
 MASK_DELTA = 0xA282EAD8  # fixed value
 HEAD, PAYLOAD, TAIL = "<QI", "<qIB", "<I"
 MISSING_ID = -(2 ** 63)
-CACHED_PIECES, CACHED_LENGTH = 200_000, 64
 
 
 def masked(raw: bytes) -> int:
@@ -63,22 +62,22 @@ def read_frame(raw: bytes, offset: int) -> tuple[int | None, np.ndarray, int]:
     return (None if doc_id == MISSING_ID else doc_id), ids, at + size + struct.calcsize(TAIL) + 1
 
 
-class Library(dict):
-    """piece -> ids by the tokenizers library; pieces are what its own pre-tokenizer finds."""
+class Library(PieceCache):
+    """piece -> packed ids by the tokenizers library; pieces are what its own pre-tokenizer finds."""
 
     def __init__(self, definition: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}  # fixed values: bytes that stand for themselves
+        hidden = [b for b in range(256) if b not in shown]
+        self.signs = {b: chr(256 + i) for i, b in enumerate(hidden)}  # the library writes the others from U+0100 on
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
-    def __missing__(self, piece: str) -> bytes:
-        packed = self.whole(piece)
-        if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[piece] = packed
-        return packed
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        tokenize, signs = self.tokenizer.model.tokenize, self.signs
+        return [b"".join(t.id.to_bytes(4, "little") for t in tokenize(p.encode().decode("latin-1").translate(signs)))
+                for p in pieces]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -92,12 +91,11 @@ def encode_and_frame(df: DataFrame, path: str, end_id: int = END_ID) -> DataFram
     def run(batch: pa.RecordBatch) -> dict:
         library = worker_memory(f"library-{hash(definition.value)}", lambda: Library(definition.value))
         texts = [raw.decode() for raw in texts_of(batch.column(1))]
+        cut = [any(s in text for s in library.special) for text in texts]  # the library cuts these out before its pieces
+        found = (ids for chunk in boundaries().chunks(["" if c else t for c, t in zip(cut, texts)]) for ids in library.encode(chunk))
         frames = []
-        for doc_id, text, own in zip(batch.column(0).to_pylist(), texts, boundaries().pieces(texts)):
-            if any(s in text for s in library.special):  # the library cuts these out before its pieces
-                packed = library.whole(text)
-            else:
-                packed = b"".join(map(library.__getitem__, own))
+        for doc_id, text, special, packed in zip(batch.column(0).to_pylist(), texts, cut, found):
+            packed = library.whole(text) if special else packed
             frames.append(frame(doc_id, np.append(np.frombuffer(packed, "<u4"), np.uint32(end_id)), library.width))
         return {"frame": binary_array(frames)}
 
@@ -151,7 +149,8 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInArrow(run, "file string, offset long, length long, doc_id long, n_tokens long, local_start long, ids binary")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids of every record, placed by the index."""
-    index = spark.read.parquet(f"{folder}/index").select("file", "offset", "start")
-    return scan(spark, folder).join(index, ["file", "offset"]).select("doc_id", "start", "n_tokens", "ids")
+def read(spark: SparkSession, folder: str, **values: F.Column) -> DataFrame:
+    """doc_id, start, n_tokens and ``values`` (expressions over ids) of every record, placed by the index."""
+    index = spark.read.parquet(f"{folder}/index").groupBy("file").agg(F.min("start").alias("base"))
+    found = scan(spark, folder).select("file", "doc_id", "n_tokens", "local_start", *[v.alias(k) for k, v in values.items()])
+    return found.join(index, "file").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", *values)
