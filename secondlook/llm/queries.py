@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secondlook.llm import bpe, compression, fertility, kdtree, records
+from secondlook.llm import bpe, compression, decontaminate, fertility, htmltext, kdtree, records
 from secondlook.llm.common import table
 from secondlook.session import stage_path
 
@@ -54,3 +54,13 @@ def op9_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.shard(table(spark, sf_dir, "documents"), 40).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op2_html_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
