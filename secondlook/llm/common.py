@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -66,20 +67,34 @@ def unsigned_hash(values: np.ndarray, seed: int = 0) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-class Numbered(dict):
-    """word -> running number; ``words`` has them in that order."""
+class WordHashes(dict):
+    """word -> 64-bit hash, the same on every worker; keeps at most ``limit`` words."""
 
-    def __init__(self):
-        super().__init__()
-        self.words: list[bytes] = []
+    limit = 300_000
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.words)
-        self.words.append(word)
-        return n
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def word_hashes() -> WordHashes:
+    return worker_memory("word-hashes", WordHashes)
+
 
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+def blobs_by_bucket(keys: np.ndarray, buckets: int, *values: np.ndarray) -> tuple[list[int], list[list[bytes]]]:
+    """Unsigned keys dealt to buckets: the buckets that got some, and each array's part as packed bytes."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if keys.size else np.zeros(0, np.int64)
+    last = np.append(first[1:], keys.size)
+    parts = [[x[order][a:b].tobytes() for a, b in zip(first.tolist(), last.tolist())] for x in (keys, *values)]
+    return bucket[first].tolist(), parts
 
 
 class PieceCache(dict):

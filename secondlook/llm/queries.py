@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secondlook.llm import bpe, compression, decontaminate, fertility, htmltext, kdtree, records
+from secondlook.llm import bpe, compression, decontaminate, fertility, htmltext, kdtree, records, substring
 from secondlook.llm.common import table
 from secondlook.session import stage_path
 
@@ -64,3 +64,8 @@ def op2_html_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
