@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secondlook.llm import bpe, compression, decontaminate, fertility, htmltext, kdtree, records, substring
+from secondlook.llm import bpe, compression, decontaminate, fertility, fuzzylines, htmltext, jaccard, kdtree, records, substring
 from secondlook.llm.common import table
 from secondlook.session import stage_path
 
@@ -69,3 +69,14 @@ def op3_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op7_divideskip_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+@query
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzylines.dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
