@@ -146,8 +146,8 @@ def classes(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: s
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) per row of ``df``.
 
     Documents link when 100 * intersection >= percent * union of their distinct shingles. A text without
-    words, missing or empty, has no shingles and stays alone. Rows with one id are one document: what links to
-    any of them is reached. A missing id links with nothing and has no component. Other columns are ignored.
+    words, missing or empty, has no shingles and stays alone. Rows with one id and different texts are documents
+    of their own that share the id. A missing id links with nothing and has no component. Other columns are ignored.
     """
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), no_text(text).alias("text"))
@@ -221,6 +221,7 @@ def classes(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: s
                         "doc_id long, label long, tasks array<string>, shingles binary")
 
     def compare(group: pa.Table) -> pa.Table:
+        whole = group.column("task")[0].as_py().startswith("s")
         by_label: dict[int, list] = {}
         for i, label, s in zip(*(group.column(c).to_pylist() for c in ("doc_id", "label", "shingles"))):
             by_label.setdefault(label, []).append((i, s))
@@ -229,14 +230,19 @@ def classes(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: s
             own = sorted(set(own))
             ids = [i for i, _ in own]
             found += [(ids[k], ids[r]) for k, r in enumerate(links_in_group([np.frombuffer(s, np.uint64) for _, s in own], percent)) if r != k]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        return pa.table({"whole": pa.array([whole] * len(found), pa.bool_()),
+                         "a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     exploded = carried.select("doc_id", "label", "shingles", F.explode("tasks").alias("task"))
-    links = exploded.groupBy("task").applyInArrow(compare, "a long, b long")
-    # copies of a set under several ids, and sets under one id, hold together as well
-    copies = known.join(standing, "digest").select(F.col("doc_id").alias("a"), F.col("standing").alias("b")).where("a <> b").distinct()
-    label = components(links.union(copies)).select(F.col("node").alias("doc_id"), F.col("label").alias("component"))
-    return heads.select("doc_id", "n_shingles").join(label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    links = stage(exploded.groupBy("task").applyInArrow(compare, "whole boolean, a long, b long"), "links")
+    # A group that one task saw whole is done; what several saw of a split group is put together.
+    found = links.where("whole").select(F.col("a").alias("standing"), F.col("b").alias("component"))
+    if links.where("NOT whole").limit(1).count():
+        found = found.union(components(links.where("NOT whole")))
+    label = standing.join(found, "standing", "left").select("digest", F.coalesce("component", "standing").alias("component"))
+    alone = F.when(F.col("digest").isNull(), F.col("doc_id"))
+    return heads.select("doc_id", "n_shingles", "digest").join(label, "digest", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", alone).alias("component_id"))
 
 
 def one_of_each(df: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from secondlook.llm import fuzzylines, jaccard
+from secondlook.llm import fuzzylines, graph, jaccard
 
 SF = "/root/testdata/sf0.01"
 
@@ -31,11 +31,13 @@ def brute(rows, words, percent):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets.append({tuple(w[k:k + words]) for k in range(len(w) - words + 1)} or ({tuple(w)} if w else set()))
     links = []
-    for (i, a), (j, b) in combinations([(d, s) for (d, _), s in zip(rows, sets) if s and d is not None], 2):
+    order = sorted((d, k) for k, (d, _) in enumerate(rows) if d is not None)  # texts that share an id are nodes of their own
+    for (i, j) in combinations([n for n in order if sets[n[1]]], 2):
+        a, b = sets[i[1]], sets[j[1]]
         if min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)) and 100 * len(a & b) >= percent * len(a | b):
             links.append((i, j))
-    label = classes_of(links, {d for d, _ in rows if d is not None})
-    return sorted(((d, len(s), label.get(d)) for (d, _), s in zip(rows, sets)), key=repr)
+    label = classes_of(links, order)
+    return sorted(((d, len(sets[k]), label[d, k][0] if d is not None else None) for k, (d, _) in enumerate(rows)), key=repr)
 
 
 def result(df, **options):
@@ -73,6 +75,17 @@ def test_planted_copies_equal_brute_force(spark, monkeypatch, block):
     assert jaccard.classes(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [10 ** 6, 0])
+def test_components_of_chains_and_stars(spark, monkeypatch, limit):
+    monkeypatch.setattr(graph, "LOCAL_LINKS", limit)
+    rng = random.Random(limit)
+    links = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 150)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
+    df = spark.createDataFrame(links, "a long, b long")
+    want = classes_of(links, {n for x in links if x[0] != x[1] for n in x})
+    assert {r.node: r.label for r in graph.components(df).collect()} == want
+    assert graph.components(df.limit(0)).count() == 0
+
+
 def test_buckets_lose_no_pair():
     rng = np.random.default_rng(2)
     for _ in range(400):
