@@ -64,10 +64,11 @@ def _dot(features: list[str], weights) -> Column:
 
 
 def _argmax(scores: list[tuple[object, Column]]) -> Column:
-    """Label with the highest score; the first label wins ties."""
+    """Label with the highest score; the first label wins ties. NULL if any score is missing."""
     options = [F.struct(s.alias("score"), F.lit(-i).alias("rank"), F.lit(v).alias("label"))
                for i, (v, s) in enumerate(scores)]
-    return F.array_max(F.array(*options))["label"]
+    complete = reduce(lambda a, b: a & b, [s.isNotNull() for _, s in scores])
+    return F.when(complete, F.array_max(F.array(*options))["label"])
 
 
 @dataclass

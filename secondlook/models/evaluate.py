@@ -70,7 +70,7 @@ def auc(df: DataFrame, score: str, label: str, by: list[str] | None = None,
                            {"cum_tp": "tp"}, by, descending=True)
     # tp before the group plus half the ties: cum_tp - tp / 2 positives score higher.
     area = F.sum(F.col("fp") * (F.col("cum_tp") - F.col("tp") / 2))
-    pairs = F.sum("tp") * F.sum("fp")
+    pairs = F.sum("tp").cast("double") * F.sum("fp")  # whole numbers would overflow
     return curve.groupBy(*by).agg(F.when(pairs > 0, area / pairs).alias(name))
 
 

@@ -37,7 +37,7 @@ def votes(train: DataFrame, test: DataFrame, features: list[str], label: str, ks
 
 def classify(train: DataFrame, test: DataFrame, features: list[str], label: str, k: int,
              **options) -> DataFrame:
-    """Test rows with their predicted label (ML-13)."""
+    """Test rows with their predicted label (ML-13), NULL where a feature is missing."""
     best = votes(train, test, features, label, [k], **options).drop("k")
     return salted_join(test.withColumn("vec", _vector(features)), best, ["vec"], "left").drop("vec")
 
@@ -46,11 +46,13 @@ def accuracy_by_k(train: DataFrame, test: DataFrame, features: list[str], label:
                   max_k: int = 40, **options) -> DataFrame:
     """``(k, accuracy)`` for k = 1..max_k (ML-14, EDA-7, SCH-3).
 
-    Test rows are counted per vector and label first, so copies cost one row.
+    Test rows are counted per vector and label first, so copies cost one row. A row
+    without a prediction, because a feature is missing, counts as wrong.
     """
     best = votes(train, test, features, label, range(1, max_k + 1), **options)
     tested = (test.groupBy(_vector(features).alias("vec"), F.col(label).alias("__actual"))
               .agg(F.count("*").alias("__n")))
     hit = F.when(F.col("__actual") == F.col("predicted"), F.col("__n")).otherwise(0)
+    total = test.count()
     return (tested.join(best, "vec").groupBy("k")
-            .agg((F.sum(hit) / F.sum("__n")).alias("accuracy")))
+            .agg((F.sum(hit) / F.lit(total)).alias("accuracy")))

@@ -17,10 +17,11 @@ def read_text_extract(spark: SparkSession, path: str, columns: list[str]) -> Dat
     """Tab-separated file with a header, every column text (SRC-1).
 
     Blank, all-space and ``NA`` fields are NULL and outer blanks are trimmed. Quoted
-    line breaks are not accepted, so large files are still split over tasks.
+    line breaks are not accepted, so large files are still split over tasks. A header whose
+    names differ from ``columns``, or stand in another order, is an error.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = spark.read.csv(path, schema=schema, sep="\t", header=True, quote='"', escape='"',
+    raw = spark.read.csv(path, schema=schema, enforceSchema=False, sep="\t", header=True, quote='"', escape='"',
                          ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
                          nullValue=MISSING)
     blank_free = raw.select(*[F.when(F.trim(F.col(f"`{c}`")) != "", F.col(f"`{c}`")).alias(c)
