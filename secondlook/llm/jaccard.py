@@ -27,7 +27,6 @@ from secondlook.llm.common import (binary_array, blobs_by_bucket, map_arrow, no_
 from secondlook.llm.graph import components
 
 WORDS, PERCENT = 5, 80
-SPARE = 2  # buckets beyond the bound: so many may be empty on both sides
 MU = 0.01  # cost of probing a long list against merging it, as in the paper's rule for how many lists to put aside
 GROUP_SHINGLES = 4 << 20  # shingles that one task holds; a larger candidate group is split into blocks
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -69,12 +68,13 @@ def bucket_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     for c in (own, own + 1):
         largest = math.ceil((100 / percent) ** (c + 1))
         differ = 2 * largest * (100 - percent) // (100 + percent)
-        buckets = differ + 1 + SPARE
+        spare = differ // 5 + 6  # buckets beyond the bound: so many may be empty on both sides, which few sets exceed
+        buckets = differ + 1 + spare
         where = (unsigned_hash(shingles, 7) % np.uint64(buckets)).astype(np.int64)
         content = np.zeros(buckets, np.uint64)
         np.add.at(content, where, unsigned_hash(shingles, 8))
         full = np.bincount(where, minlength=buckets) > 0
-        if full.sum() >= buckets - SPARE:  # two sets that agree on a bucket only by its being empty have more empty ones
+        if full.sum() >= buckets - spare:  # two sets that agree on a bucket only by its being empty have more empty ones
             used = np.flatnonzero(full)
         else:
             used = np.arange(buckets)
