@@ -15,8 +15,9 @@ from secondlook.operators.ranking import running_totals
 from secondlook.session import stage
 
 
-def confusion(df: DataFrame, predicted: str, actual: str, levels: tuple = (0, 1)) -> DataFrame:
-    return contingency(df, predicted, actual, list(levels))  # ML-6
+def confusion(df: DataFrame, predicted: str, actual: str, levels: tuple | None = (0, 1)) -> DataFrame:
+    """Counts of every pair of classes (ML-6); with ``levels`` None, of the classes found."""
+    return contingency(df, predicted, actual, levels and list(levels))
 
 
 def _score_groups(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,27 +22,57 @@ def count_by(df: DataFrame, **keys: Column) -> DataFrame:
     return df.groupBy(*[k.alias(n) for n, k in keys.items()]).agg(F.count("*").alias("n"))
 
 
-def frequency(df: DataFrame, name: str, levels: list) -> DataFrame:
-    """Count per level, absent levels 0, missing values left out (AGG-6)."""
+MAX_LEVELS = 1_000  # levels of a factor; a column with more is refused
+
+
+def found_levels(df: DataFrame, *names: str) -> list:
+    """The known values of the columns, together and in order; more than ``MAX_LEVELS`` are an error."""
+    values = [df.select(F.col(n).alias("level")) for n in names]
+    known = reduce(DataFrame.union, values).filter("level IS NOT NULL").distinct()
+    levels = sorted(r.level for r in known.limit(MAX_LEVELS + 1).collect())
+    if len(levels) > MAX_LEVELS:
+        raise ValueError(f"{names} have more than {MAX_LEVELS} levels")
+    return levels
+
+
+def _listed_only(counts: DataFrame, levels: list, *names: str) -> DataFrame:
+    """The counts; a level that is not listed is an error, since its rows would be lost."""
+    def checked(n: str) -> Column:
+        unlisted = F.raise_error(F.concat(F.lit(f"unlisted level of {n}: "), F.col(n).cast("string")))
+        return F.when(F.col(n).isin(levels), F.col(n)).otherwise(unlisted)
+    return counts.withColumns({n: checked(n) for n in names})
+
+
+def frequency(df: DataFrame, name: str, levels: list | None = None) -> DataFrame:
+    """Count per level, absent levels 0, missing values left out (AGG-6).
+
+    Without ``levels`` they are those of the data; a value not among given ones is an error.
+    """
+    levels = found_levels(df, name) if levels is None else levels
     grid = df.sparkSession.createDataFrame([(v,) for v in levels], df.select(name).schema)
     counts = df.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("__n"))
-    return (grid.join(counts, name, "left")
+    return (grid.join(_listed_only(counts, levels, name), name, "left")
             .select(name, F.coalesce("__n", F.lit(0)).cast("long").alias("n")))
 
 
-def contingency(df: DataFrame, rows: str, cols: str, levels: list) -> DataFrame:
-    """Dense two-way table of two columns over the same levels (AGG-7, ML-6)."""
+def contingency(df: DataFrame, rows: str, cols: str, levels: list | None = None) -> DataFrame:
+    """Dense two-way table of two columns over the same levels (AGG-7, ML-6).
+
+    Without ``levels`` they are those of the data; a value not among given ones is an error.
+    """
     spark = df.sparkSession
+    levels = found_levels(df, rows, cols) if levels is None else levels
     grid = spark.createDataFrame([(a, b) for a in levels for b in levels],
                                  df.select(rows, cols).schema)
     counts = (df.filter(F.col(rows).isNotNull() & F.col(cols).isNotNull())
               .groupBy(rows, cols).agg(F.count("*").alias("__n")))
-    return (grid.join(counts, [rows, cols], "left")
+    return (grid.join(_listed_only(counts, levels, rows, cols), [rows, cols], "left")
             .select(rows, cols, F.coalesce("__n", F.lit(0)).cast("long").alias("n")))
 
 
-def contingency_wide(df: DataFrame, rows: str, cols: str, levels: list) -> DataFrame:
+def contingency_wide(df: DataFrame, rows: str, cols: str, levels: list | None = None) -> DataFrame:
     """The same table with one column per level of ``cols``."""
+    levels = found_levels(df, rows, cols) if levels is None else levels
     return (contingency(df, rows, cols, levels)
             .groupBy(rows).pivot(cols, levels).agg(F.first("n"))
             .withColumnsRenamed({str(v): f"{cols}_{v}" for v in levels}))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from secondlook.functions.scalars import hash_key
 from secondlook.operators.aggregates import union_by_name
 from secondlook.operators.joins import lookup_join
-from secondlook.operators.ranking import last_position_of_fold
+from secondlook.operators.ranking import global_row_number, last_position_of_fold
 from secondlook.session import stage
 
 # Hex digits of the hash that form a bucket: 16**4 buckets, so a boundary sort
@@ -101,10 +101,12 @@ def stratified_split(df: DataFrame, row_id: str, label: str, p: float = 0.8, see
     return _split(df, row_id, seed, lambda n: F.ceil(F.lit(p) * n), label, name)
 
 
-def shuffled(df: DataFrame, row_id: str, seed: int = 2) -> DataFrame:
-    """Rows in hash order (SMP-3): a distributed range sort."""
-    return (df.withColumn("__hash", hash_key(seed, row_id))
-            .orderBy("__hash", row_id).drop("__hash"))
+def shuffled(df: DataFrame, row_id: str, seed: int = 2, position: str | None = None) -> DataFrame:
+    """Rows in hash order (SMP-3): a distributed range sort. With ``position``, their numbers in that order."""
+    keyed = df.withColumn("__hash", hash_key(seed, row_id))
+    if position:
+        return global_row_number(keyed, "__hash", row_id, name=position).drop("__hash")
+    return keyed.orderBy("__hash", row_id).drop("__hash")
 
 
 def assign_folds(df: DataFrame, row_id: str, folds: int = 10, seed: int = 2,

@@ -60,19 +60,19 @@ def enriched(cards: DataFrame, occupation: DataFrame, province: DataFrame) -> Da
     return natural_lookup(coded.withColumn("Left2_Zipcode", S.left_chars("Zipcode", 2)), province)
 
 
-def _trimmed(df: DataFrame) -> DataFrame:
-    return drop_names(drop_positions(df, DROPPED_POSITIONS), *DROPPED_AFTER_LOOKUP)
+def _trimmed(df: DataFrame, expect: list[str] | None) -> DataFrame:
+    return drop_names(drop_positions(df, DROPPED_POSITIONS, expect=expect), *DROPPED_AFTER_LOOKUP)
 
 
 def before_after(cards_before: DataFrame, cards_after: DataFrame, occupation: DataFrame,
-                 province: DataFrame) -> DataFrame:
+                 province: DataFrame, expect: list[str] | None = None) -> DataFrame:
     """Latest rejected application per ID (``_x``) against the earliest one of the first
-    year (``_y``), with change features (Q4)."""
+    year (``_y``), with change features (Q4). ``expect`` names the columns that the dropped positions must hit."""
     rejected = union_by_name(cards_before, cards_after).filter(equals("Branch_Code", REJECT_BRANCH))
     latest = _trimmed(enriched(latest_per_key(rejected, "ID", "ApproveDate", "row_id"),
-                               occupation, province))
+                               occupation, province), expect)
     earliest = _trimmed(enriched(earliest_per_key(cards_before, "ID", "ApproveDate", "row_id"),
-                                 occupation, province))
+                                 occupation, province), expect)
     both = left_join(latest, earliest, ["ID"], unique="both")
     both = apply_to(both, ["Appl_In_Date_x", "Appl_In_Date_y"], S.day_first_date)
     both = apply_to(both, ["ApproveDate_x", "ApproveDate_y", "DOB_x", "DOB_y"], S.to_date_only)

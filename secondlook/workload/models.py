@@ -287,14 +287,21 @@ def eda6(spark, sf):
 
 # --- nearest neighbours ---------------------------------------------------------------------
 
+DIMENSIONS = [f"x{i}" for i in range(1, 65)]
+
+
 def knn_split(spark, sf):
-    flagged = stage(M.exact_split(points(spark, sf), "vec_id", 0.8, 123), "knn-split")
+    rows = I.read(spark, sf, "embeddings").select(
+        "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(x) for i, x in enumerate(DIMENSIONS)])
+    flagged = stage(M.exact_split(rows, "vec_id", 0.8, 123), "knn-split")
     return flagged.filter("is_train"), flagged.filter("NOT is_train")
 
 
 _KNN = f"""WITH s AS (SELECT *, row_number() OVER (ORDER BY {hash_sql(123, 'vec_id')}, vec_id)
-    <= floor(0.8 * count(*) OVER ()) AS is_train FROM {POINTS_SQL} p),
-  d AS (SELECT a.vec_id, a.label AS actual, b.label, (a.x1-b.x1)*(a.x1-b.x1) + (a.x2-b.x2)*(a.x2-b.x2) AS d2
+    <= floor(0.8 * count(*) OVER ()) AS is_train
+    FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)),
+  d AS (SELECT a.vec_id, a.label AS actual, b.label,
+      list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1]-z[2])*(z[1]-z[2]))) AS d2
     FROM s a JOIN s b ON NOT a.is_train AND b.is_train),
   r AS (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY d2) AS rk FROM d),
   v AS (SELECT k, vec_id, actual, label, count(*) AS n FROM r
@@ -306,14 +313,14 @@ _KNN = f"""WITH s AS (SELECT *, row_number() OVER (ORDER BY {hash_sql(123, 'vec_
 @query("ml13_knn_class", f"{_KNN} SELECT vec_id, predicted FROM p WHERE o = 1 AND k = 7")
 def ml13(spark, sf):
     train, test = knn_split(spark, sf)
-    return knn.classify(train, test, ["x1", "x2"], "label", 7).select("vec_id", "predicted")
+    return knn.classify(train, test, DIMENSIONS, "label", 7).select("vec_id", "predicted")
 
 
 @query("ml14_accuracy_by_k", f"""{_KNN} SELECT CAST(k AS INTEGER) AS k,
   round(avg(CASE WHEN actual = predicted THEN 1 ELSE 0 END), 9) AS accuracy FROM p WHERE o = 1 GROUP BY k""")
 def ml14(spark, sf):
     train, test = knn_split(spark, sf)
-    return rounded(knn.accuracy_by_k(train, test, ["x1", "x2"], "label", 40), 9, "accuracy")
+    return rounded(knn.accuracy_by_k(train, test, DIMENSIONS, "label", 40), 9, "accuracy")
 
 
 @query("jn9_nearest_64_dimensions", """

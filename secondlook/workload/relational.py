@@ -8,10 +8,11 @@ from secondlook.operators import aggregates as A
 from secondlook.operators import joins as J
 from secondlook.operators import keyed as K
 from secondlook.operators import ordering as O
+from secondlook.operators import ranking as R
 from secondlook.plans import cards, leads, unified
 from secondlook.workload import standins as I
 from secondlook.workload.registry import query
-from secondlook.workload.tables import REJECTED_SQL, rejected
+from secondlook.workload.tables import CARDS_SQL, REJECTED_SQL, all_cards, rejected
 
 LEAD_SQL = f"(SELECT * FROM {I.LEAD.sql} t WHERE ID IS NOT NULL)"
 _RANKED = f"""(SELECT *, row_number() OVER (PARTITION BY ID ORDER BY Data_Mth ASC NULLS LAST, row_id) AS rn,
@@ -21,17 +22,11 @@ PAIRS_SQL = f"""(SELECT a.ID, a.row_id AS row_id_x, b.row_id AS row_id_y, a.Data
   b.AGENT_SOURCE_CODE AS AGENT_SOURCE_CODE_y, a.Product_CC_PL_RL AS Product_CC_PL_RL_x,
   b.Product_CC_PL_RL AS Product_CC_PL_RL_y
   FROM {_RANKED} a JOIN {_RANKED} b ON a.ID = b.ID AND a.rn = 1 AND b.rn > 1)"""
-CARDS_SQL = f"(SELECT * FROM {I.CC15.sql} a UNION ALL SELECT * FROM {I.CC16.sql} b)"
-
 
 def lead(spark, sf):
     return I.LEAD.frame(spark, sf)
 
 
-def all_cards(spark, sf):
-    return A.union_by_name(I.CC15.frame(spark, sf), I.CC16.frame(spark, sf))
-
-
 @query("jn1_left_join", f"""
   SELECT l.row_id AS lead_row, l.ID, c.row_id AS card_row, c.Result
   FROM {LEAD_SQL} l LEFT JOIN {I.CC15.sql} c ON l.ID IS NOT DISTINCT FROM c.ID""")
@@ -42,19 +37,19 @@ def jn1(spark, sf):
 
 
 @query("jn2_lookup", f"""
-  SELECT c.row_id, c.Occupation, o.Code FROM {I.CC15.sql} c
+  SELECT c.row_id, c.Occupation, o.Code FROM {CARDS_SQL} c
   LEFT JOIN {I.OCCUPATION.sql} o ON c.Occupation IS NOT DISTINCT FROM o.Description""")
 def jn2(spark, sf):
-    df = I.CC15.frame(spark, sf).select("row_id", "Occupation")
+    df = all_cards(spark, sf).select("row_id", "Occupation")
     return J.lookup_join(df, I.OCCUPATION.frame(spark, sf), {"Occupation": "Description"})
 
 
 @query("jn3_natural_lookup", f"""
   SELECT c.row_id, substr(c.Zipcode, 1, 2) AS Left2_Zipcode, p.Province_Eng, p.City_Type_Code
-  FROM {I.CC16.sql} c LEFT JOIN {I.PROVINCE.sql} p ON substr(c.Zipcode, 1, 2) = p.Left2_Zipcode""")
+  FROM {CARDS_SQL} c LEFT JOIN {I.PROVINCE.sql} p ON substr(c.Zipcode, 1, 2) = p.Left2_Zipcode""")
 def jn3(spark, sf):
     from secondlook.functions.scalars import left_chars
-    df = I.CC16.frame(spark, sf).select("row_id", left_chars("Zipcode", 2).alias("Left2_Zipcode"))
+    df = all_cards(spark, sf).select("row_id", left_chars("Zipcode", 2).alias("Left2_Zipcode"))
     province = I.PROVINCE.frame(spark, sf).select("Left2_Zipcode", "Province_Eng", "City_Type_Code")
     return J.natural_lookup(df, province)
 
@@ -129,6 +124,12 @@ def agg6(spark, sf):
     return A.frequency(all_cards(spark, sf), "Result", ["A", "D", "R", "X"])
 
 
+@query("agg6_frequency_of_found_levels", f"""
+  SELECT Occupation, count(*) AS n FROM {CARDS_SQL} t WHERE Occupation IS NOT NULL GROUP BY Occupation""")
+def agg6_found(spark, sf):
+    return A.frequency(all_cards(spark, sf), "Occupation")
+
+
 @query("agg7_contingency", f"""
   SELECT a.v AS called, b.v AS label, CAST(coalesce(n, 0) AS BIGINT) AS n
   FROM (VALUES (0), (1), (2)) a(v) CROSS JOIN (VALUES (0), (1), (2)) b(v)
@@ -213,11 +214,13 @@ def srt1(spark, sf):
 
 
 @query("srt2_sorted", f"""
-  SELECT ID, strftime(ApproveDate, '%Y-%m-%d') AS ApproveDate, row_id FROM {I.CC15.sql} t
-  ORDER BY ID ASC NULLS LAST, t.ApproveDate DESC NULLS LAST, row_id""")
+  SELECT ID, strftime(ApproveDate, '%Y-%m-%d') AS ApproveDate, row_id,
+    row_number() OVER (ORDER BY ID ASC NULLS LAST, t.ApproveDate DESC NULLS LAST, row_id) AS position
+  FROM {CARDS_SQL} t""")
 def srt2(spark, sf):
-    df = I.CC15.frame(spark, sf).select("ID", "ApproveDate", "row_id")
-    return (O.arrange(df, "ID", "-ApproveDate", "row_id")
+    # Positions make the order part of what is compared.
+    df = all_cards(spark, sf).select("ID", "ApproveDate", "row_id")
+    return (R.global_row_number(df, "ID", "-ApproveDate", "row_id", name="position")
             .withColumn("ApproveDate", F.date_format("ApproveDate", "yyyy-MM-dd")))
 
 
@@ -230,15 +233,17 @@ def srt4(spark, sf):
 
 @query("set1_union_by_name", f"""
   SELECT row_id, ID, spending, CAST(NULL AS DOUBLE) AS DrawDown FROM {CARDS_SQL} c
-  UNION ALL SELECT row_id, ID, NULL, DrawDown FROM {I.PL15.sql} p""")
+  UNION ALL SELECT row_id, ID, NULL, DrawDown FROM {I.PL15.sql} p
+  UNION ALL SELECT row_id, ID, NULL, DrawDown FROM {I.PL16.sql} q""")
 def set1(spark, sf):
-    a = all_cards(spark, sf).select("row_id", "ID", "spending")
-    return A.union_by_name(a, I.PL15.frame(spark, sf).select("row_id", "ID", "DrawDown"))
+    cc = [t.frame(spark, sf).select("row_id", "ID", "spending") for t in (I.CC15, I.CC16)]
+    pl = [t.frame(spark, sf).select("row_id", "ID", "DrawDown") for t in (I.PL15, I.PL16)]
+    return A.union_by_name(*cc, *pl)
 
 
-@query("set4_distinct", f"SELECT DISTINCT ID FROM {I.CC15.sql} t")
+@query("set4_distinct", f"SELECT DISTINCT ID FROM {CARDS_SQL} t")
 def set4(spark, sf):
-    return I.CC15.frame(spark, sf).select("ID").distinct()
+    return all_cards(spark, sf).select("ID").distinct()
 
 
 @query("q2_duplicate_profile", f"""

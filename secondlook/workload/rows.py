@@ -13,7 +13,7 @@ from secondlook.session import stage
 from secondlook.workload import standins as I
 from secondlook.workload.registry import query
 from secondlook.workload.standins import hash_sql
-from secondlook.workload.tables import REJECTED_SQL, rejected
+from secondlook.workload.tables import CARDS_SQL, REJECTED_SQL, all_cards, rejected
 
 _INT = "TRY_CAST(trunc(TRY_CAST({0} AS DOUBLE)) AS INTEGER)"
 _OLD = "TRY_CAST('2015-' || Data_Mth || '-01' AS DATE)"
@@ -42,9 +42,9 @@ def fn_extract(spark, sf):
     regexp_matches(coalesce(Product, ''), '^[A-Z]{{2}}O')::INTEGER AS starts,
     strftime(TRY_CAST(substr(Appl_In_Date, 7, 4) || '-' || substr(Appl_In_Date, 4, 2) || '-'
       || substr(Appl_In_Date, 1, 2) AS DATE), '%Y-%m-%d') AS applied, Monthly_Salary - spending AS gap
-  FROM {I.CC15.sql} t""")
+  FROM {CARDS_SQL} t""")
 def fn_flags(spark, sf):
-    return I.CC15.frame(spark, sf).select(
+    return all_cards(spark, sf).select(
         "row_id", S.approval_flag("Result").alias("approved"),
         S.approval_target("Result", "Product").alias("target"),
         S.decline_flag("Result_Description").alias("declined"), S.present_flag("Doc_Waive").alias("waived"),
@@ -98,11 +98,7 @@ def fn23(spark, sf):
 def jn8(spark, sf):
     # One grid per market segment of the data: 140 settings each.
     segments = I.read(spark, sf, "customer").select("c_mktsegment").distinct()
-    alphas = F.array(*[F.lit(a) for a in elasticnet.ALPHAS])
-    return (segments.withColumn("alpha", F.explode(alphas))
-            .withColumn("lambda", F.explode(S.even_steps(
-                elasticnet.LAMBDA_FIRST, elasticnet.LAMBDA_LAST, elasticnet.LAMBDA_COUNT)))
-            .withColumn("lambda", F.round("lambda", 9)))
+    return elasticnet.parameter_grid(segments).withColumn("lambda", F.round("lambda", 9))
 
 
 @query("win7_global_row_number", """
@@ -129,10 +125,10 @@ def smp1(spark, sf):
     return df.withColumn("is_train", F.col("is_train").cast("int"))
 
 
-@query("smp3_shuffled_head", f"SELECT o_orderkey FROM orders ORDER BY {hash_sql(2, 'o_orderkey')}, o_orderkey LIMIT 6")
+@query("smp3_shuffled", f"""
+  SELECT o_orderkey, row_number() OVER (ORDER BY {hash_sql(2, 'o_orderkey')}, o_orderkey) AS position FROM orders""")
 def smp3(spark, sf):
-    # The first rows of the shuffle, so that the order itself is checked.
-    return M.shuffled(I.read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 2).limit(6)
+    return M.shuffled(I.read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 2, "position")
 
 
 @query("smp4_folds", f"""
@@ -202,7 +198,8 @@ def q1(spark, sf):
 
 def pairs(spark, sf):
     return cards.before_after(I.CC15.frame(spark, sf), I.CC16.frame(spark, sf),
-                              I.OCCUPATION.frame(spark, sf), I.PROVINCE.frame(spark, sf))
+                              I.OCCUPATION.frame(spark, sf), I.PROVINCE.frame(spark, sf),
+                              expect=["F3", "F4", "F5", "F6", "F7", "F8", "F9"])
 
 
 def _side(source: str, order: str) -> str:
@@ -237,7 +234,8 @@ def q4(spark, sf):
 
 
 def targets(spark, sf):
-    return unified.target_set(rejected(spark, sf), I.OCCUPATION.frame(spark, sf), I.PROVINCE.frame(spark, sf))
+    return unified.target_set(rejected(spark, sf), I.OCCUPATION.frame(spark, sf), I.PROVINCE.frame(spark, sf),
+                              expect=["ID", "ApproveDate", "F3", "F4", "F5", "F6", "F7", "F8", "F9", "F11", "F12"])
 
 
 TARGET_SQL = f"""(SELECT r.row_id, r.Age, r.Monthly_Salary, p.City_Type_Code, r.Appl_In_Date,

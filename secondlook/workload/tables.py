@@ -14,12 +14,20 @@ from secondlook.session import stage_path
 from secondlook.workload import standins as I
 from secondlook.workload.registry import query
 
+CARDS_SQL = f"(SELECT * FROM {I.CC15.sql} a UNION ALL SELECT * FROM {I.CC16.sql} b)"
+
+
+def all_cards(spark, sf):
+    return A.union_by_name(I.CC15.frame(spark, sf), I.CC16.frame(spark, sf))
+
+
 EXTRACT_COLUMNS = ["row id", "Data.Mth", "Product(CC/PL/RL)", "Month", "AGE", "Monthly Salary", "Product",
                    "Person", "Old_Reason_Desc", "Occupation_Code", "Doc_Waive", "Appr"]
 
 
 @query("src1_text_extract", f"""
   SELECT CAST(row_id AS VARCHAR) AS row_id, Data_Mth, Product_CC_PL_RL AS Product_CC_PL_RL_, Month, AGE,
+         TRY_CAST(Monthly_Salary AS DOUBLE) AS Monthly_Salary,
          Product, Person, Old_Reason_Desc, Occupation_Code, Doc_Waive, Appr
   FROM {I.EXTRACT.sql} x""")
 def src1(spark, sf):
@@ -29,7 +37,9 @@ def src1(spark, sf):
           else f"CASE WHEN {c} IS NULL THEN ' ' ELSE concat(' ', {c}, '  ') END AS {c}"
           for c in I.EXTRACT.frame(spark, sf).columns])
     IO.write_text_extract(frame.toDF(*EXTRACT_COLUMNS), path)
-    return IO.read_text_extract(spark, path, EXTRACT_COLUMNS).drop("Monthly_Salary")
+    # The two engines write a number's digits differently, so this one text is compared as a number.
+    return IO.read_text_extract(spark, path, EXTRACT_COLUMNS).withColumn(
+        "Monthly_Salary", S.text_to_double("Monthly_Salary"))
 
 
 @query("src2_catalog", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -141,14 +151,14 @@ def prj7(spark, sf):
     return C.apply_to(df, ["first_date", "second_date"], lambda c: F.date_format(c, "yyyy-MM-dd"))
 
 
-@query("flt1_equals", f"SELECT row_id FROM {I.CC15.sql} t WHERE Branch_Code = 'REJ'")
+@query("flt1_equals", f"SELECT row_id FROM {CARDS_SQL} t WHERE Branch_Code = 'REJ'")
 def flt1(spark, sf):
-    return I.CC15.frame(spark, sf).filter(P.equals("Branch_Code", cards.REJECT_BRANCH)).select("row_id")
+    return all_cards(spark, sf).filter(P.equals("Branch_Code", cards.REJECT_BRANCH)).select("row_id")
 
 
-@query("flt2_differs", f"SELECT row_id, Product FROM {I.CC16.sql} t WHERE Product <> 'FIX'")
+@query("flt2_differs", f"SELECT row_id, Product FROM {CARDS_SQL} t WHERE Product <> 'FIX'")
 def flt2(spark, sf):
-    return I.CC16.frame(spark, sf).filter(P.differs("Product", "FIX")).select("row_id", "Product")
+    return all_cards(spark, sf).filter(P.differs("Product", "FIX")).select("row_id", "Product")
 
 
 @query("flt3_strict_range", f"""
@@ -160,15 +170,15 @@ def flt3(spark, sf):
 
 
 @query("flt4_above_or_missing", f"""
-  SELECT row_id, Monthly_Salary FROM {I.CC15.sql} t WHERE Monthly_Salary > 10000 OR Monthly_Salary IS NULL""")
+  SELECT row_id, Monthly_Salary FROM {CARDS_SQL} t WHERE Monthly_Salary > 10000 OR Monthly_Salary IS NULL""")
 def flt4(spark, sf):
-    return (I.CC15.frame(spark, sf).filter(P.above_or_missing("Monthly_Salary", unified.SALARY_FLOOR))
+    return (all_cards(spark, sf).filter(P.above_or_missing("Monthly_Salary", unified.SALARY_FLOOR))
             .select("row_id", "Monthly_Salary"))
 
 
-@query("flt5_known", f"SELECT row_id, Age, ID FROM {I.CC15.sql} t WHERE Age IS NOT NULL AND ID IS NOT NULL")
+@query("flt5_known", f"SELECT row_id, Age, ID FROM {CARDS_SQL} t WHERE Age IS NOT NULL AND ID IS NOT NULL")
 def flt5(spark, sf):
-    return I.CC15.frame(spark, sf).filter(P.known("Age", "ID")).select("row_id", "Age", "ID")
+    return all_cards(spark, sf).filter(P.known("Age", "ID")).select("row_id", "Age", "ID")
 
 
 @query("flt7_not_loan", f"""
@@ -181,17 +191,17 @@ def flt7(spark, sf):
 _CODES = "('D01','D02','D09','D10','D11','D21','D22','D23','D24')"
 
 
-@query("flt8_listed", f"SELECT row_id, Result_Description FROM {I.CC15.sql} t WHERE Result_Description IN {_CODES}")
+@query("flt8_listed", f"SELECT row_id, Result_Description FROM {CARDS_SQL} t WHERE Result_Description IN {_CODES}")
 def flt8(spark, sf):
-    return (I.CC15.frame(spark, sf).filter(P.listed("Result_Description", S.CASH_AND_DEBT_DECLINES))
+    return (all_cards(spark, sf).filter(P.listed("Result_Description", S.CASH_AND_DEBT_DECLINES))
             .select("row_id", "Result_Description"))
 
 
 @query("flt9_complete_cases", f"""
-  SELECT row_id, ID, Age, Monthly_Salary, Doc_Waive FROM {I.CC15.sql} t
+  SELECT row_id, ID, Age, Monthly_Salary, Doc_Waive FROM {CARDS_SQL} t
   WHERE ID IS NOT NULL AND Age IS NOT NULL AND Monthly_Salary IS NOT NULL AND Doc_Waive IS NOT NULL""")
 def flt9(spark, sf):
-    df = I.CC15.frame(spark, sf).select("row_id", "ID", "Age", "Monthly_Salary", "Doc_Waive")
+    df = all_cards(spark, sf).select("row_id", "ID", "Age", "Monthly_Salary", "Doc_Waive")
     return P.complete_cases(df)
 
 

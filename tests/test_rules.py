@@ -94,6 +94,19 @@ def test_contingency_is_dense_and_wide(spark):
     assert [r.asDict() for r in wide.collect()] == [{"p": 0, "a_0": 2, "a_1": 0}, {"p": 1, "a_0": 1, "a_1": 0}]
 
 
+def test_levels_are_found_or_must_be_listed(spark):
+    df = spark.createDataFrame([(0, 0), (2, 0), (None, 1)], "p int, a int")
+    assert {tuple(r) for r in A.frequency(df, "p").collect()} == {(0, 1), (2, 1)}
+    cells = {(r.p, r.a): r.n for r in A.contingency(df, "p", "a").collect()}
+    assert len(cells) == 9 and sum(cells.values()) == 2 and cells[2, 0] == 1
+    for short in (lambda: A.frequency(df, "p", [0, 1]), lambda: A.contingency(df, "p", "a", [0, 1])):
+        with pytest.raises(Exception, match="unlisted level of p: 2"):
+            short().collect()
+    many = spark.range(A.MAX_LEVELS + 1)
+    with pytest.raises(ValueError, match="more than"):
+        A.frequency(many, "id")
+
+
 def test_complete_cases(spark):
     df = spark.createDataFrame([(1, 1), (1, None), (None, 1)], "a int, b int")
     assert [tuple(r) for r in P.complete_cases(df).collect()] == [(1, 1)]
