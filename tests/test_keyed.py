@@ -103,6 +103,29 @@ def test_salted_join_spreads_the_hot_key(spark):
     assert pieces["h"] == 20 and None in pieces
 
 
+def test_equal_rows_of_a_hot_key_use_all_pieces(spark):
+    left = spark.createDataFrame([("h", 1)] * 1000 + [("c", 2)], "k string, v int")
+    hot = J.hot_keys(left, ["k"], min_rows=100, share=0.0)
+    cut = J.spread(left, ["k"], hot, "piece")
+    sizes = [r["count"] for r in cut.filter("k = 'h'").groupBy("piece").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 150
+    assert cut.filter("k = 'c'").collect() == [("c", 2, 0)]
+
+
+def test_no_hot_key_no_pieces(spark):
+    left = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int")
+    right = spark.createDataFrame([(None, 5), ("b", 6)], "k string, w int")
+    joined = J.salted_join(left, right, ["k"], "left", right_hot=True)
+    assert values(joined) == sorted([("a", 1, None), (None, 2, 5)], key=repr)
+    assert "explode" not in joined._jdf.queryExecution().toString()
+
+
+def test_small_lookups_by_rows_and_bytes(spark):
+    wide = spark.createDataFrame([("x" * 1000,)] * 10, "s string")
+    assert J.is_small(wide, 10) and not J.is_small(wide, 9) and not J.is_small(wide, 10, size=5_000)
+    assert J.is_small(wide.limit(0), 0)
+
+
 def test_hot_keys_are_few(spark):
     # Above a share of the rows there cannot be more than 1 / share keys.
     assert J.hot_keys(skewed(spark), ["k"], min_rows=0, share=0.1).count() < 10
