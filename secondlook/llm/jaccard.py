@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from secondlook.llm.graph import components
 WORDS, PERCENT = 5, 80
 MU = 0.01  # cost of probing a long list against merging it, as in the paper's rule for how many lists to put aside
 GROUP_SHINGLES = 4 << 20  # shingles that one task holds; a larger candidate group is split into blocks
+PROBE = 20_000  # entries of lists that are counted in about the time of probing one candidate
+RECENT = 4  # classes that a document is held against directly; the search that follows covers all others
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
@@ -104,32 +107,66 @@ def links_in_group(sets: list[np.ndarray], percent: int) -> list[int]:
     lists, ends = owner[order], np.cumsum(np.bincount(inverse, minlength=tokens.size))
     starts, length = np.append(0, ends[:-1]), np.diff(np.append(0, ends))
     numbered = np.split(inverse, np.cumsum(sizes)[:-1])
+    recent: dict[int, int] = {}  # classes of two or more by their smallest place, the latest last: the last place linked
+
+    def link(q: int, r: int) -> None:
+        a, b = sorted((int(root[q]), int(root[r])))
+        root[root == b] = a
+        for k in (a, b):
+            recent.pop(k, None)
+        recent[a] = q
+
     for q in range(1, len(sets)):
         own = numbered[q]
+        for top in list(islice(reversed(recent), RECENT)):  # a copy of many usually shows by one look at its class
+            if any(_similar(own, numbered[r], percent) for r in {top, recent[top]}):
+                link(q, top)
+                break
+        other = root[:q] != root[q]
+        if not other.any():
+            continue
         need = -(-percent * sizes[q] // 100)
         by_length = own[np.argsort(length[own], kind="stable")]
         most = max(2, int(length[by_length[-1]]))
         aside = min(need - 1, int(need / (MU * math.log2(most) + 1)))
         short, long = by_length[:own.size - aside], by_length[own.size - aside:]
-        merged = _merge([lists[starts[t]:ends[t]] for t in short if length[t] > 1], q)
-        places, count = np.unique(merged, return_counts=True)
-        enough = (count >= need - aside) & (root[places] != root[q]) & (100 * np.minimum(sizes[places], sizes[q]) >= percent * np.maximum(sizes[places], sizes[q]))
-        for r, shared in zip(places[enough].tolist(), count[enough].tolist()):
-            if root[r] == root[q]:
-                continue
-            shared += _probe(long, lists, starts, ends, r) if long.size < sizes[r] else np.isin(long, numbered[r], assume_unique=True).sum()
-            if 100 * shared >= percent * (sizes[q] + sizes[r] - shared):
-                a, b = sorted((int(root[q]), int(root[r])))
-                root[root == b] = a
+        places, count = _merge(short[length[short] > 1], lists, starts, ends, other)
+        enough = (count >= need - aside) & (100 * np.minimum(sizes[places], sizes[q]) >= percent * np.maximum(sizes[places], sizes[q]))
+        places, shared = places[enough], count[enough]
+        if places.size * PROBE > length[long].sum():  # so many candidates that counting the long lists costs less than probing them
+            shared = shared + _count(long, lists, starts, ends, q)[places]
+        else:
+            shared = shared + np.array([_probe(long, lists, starts, ends, r) for r in places.tolist()], np.int64)
+        for r in places[100 * shared >= percent * (sizes[q] + sizes[places] - shared)].tolist():
+            if root[r] != root[q]:
+                link(q, r)
     return root.tolist()
 
 
-def _merge(short: list[np.ndarray], below: int) -> np.ndarray:
-    """The places below ``below`` of all lists in order: by a heap of the lists' heads where they are few, else by one sort."""
-    short = [x[:np.searchsorted(x, below)] for x in short]
-    if sum(x.size for x in short) <= 32:
-        return np.fromiter(heapq.merge(*[x.tolist() for x in short]), np.int64)
-    return np.sort(np.concatenate(short))
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(a.size, b.size) < percent * max(a.size, b.size):
+        return False
+    shared = np.intersect1d(a, b, assume_unique=True).size
+    return 100 * shared >= percent * (a.size + b.size - shared)
+
+
+def _merge(short: np.ndarray, lists: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places for which ``other`` holds and in how many of the lists: by a heap of the lists' heads where they are few, else counted in one go."""
+    if (ends[short] - starts[short]).sum() > 32:
+        count = _count(short, lists, starts, ends, other.size) * other
+        places = np.flatnonzero(count)
+        return places, count[places]
+    merged = np.fromiter(heapq.merge(*[lists[starts[t]:ends[t]].tolist() for t in short]), np.int64)
+    merged = merged[merged < other.size]
+    return np.unique(merged[other[merged]], return_counts=True)
+
+
+def _count(terms: np.ndarray, lists: np.ndarray, starts: np.ndarray, ends: np.ndarray, below: int) -> np.ndarray:
+    """In how many of the lists each place smaller than ``below`` is."""
+    length = ends[terms] - starts[terms]
+    at = np.repeat(starts[terms] - np.cumsum(length) + length, length) + np.arange(length.sum())
+    found = lists[at]
+    return np.bincount(found[found < below], minlength=below)
 
 
 def _probe(long: np.ndarray, lists: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: int) -> int:
