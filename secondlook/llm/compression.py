@@ -64,14 +64,14 @@ def size_difference(df: DataFrame, model: CompressionModel, doc_id: str = "doc_i
                      "doc_id long, difference double")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Newton's steps for one predictor, with a slight ridge so that separable classes stay finite."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Newton's steps for one predictor and weighted rows, with a slight ridge so that separable classes stay finite."""
     scale = x.std() or 1.0
     design, beta = np.column_stack([np.ones_like(x), x / scale]), np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2),
-                               design.T @ (y - p) - 1e-3 * beta)
+        step = np.linalg.solve(design.T @ (design * (weight * p * (1 - p))[:, None]) + 1e-3 * np.eye(2),
+                               design.T @ (weight * (y - p)) - 1e-3 * beta)
         beta += step
         if np.abs(step).max() < 1e-10:
             break
@@ -83,7 +83,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     """Learn from ``labels`` (doc_id, quality 0 or 1) of ``documents`` (doc_id, text).
 
     The sample is bounded: ``sample_rows`` rows of each class by the hash of the id for the
-    dictionaries, as many others for the calibration; they are all that reaches the driver. A
+    dictionaries, as many others for the calibration; they and the number of labels of each class
+    are all that reaches the driver. Rows of the calibration weigh as many labels as they stand for, so that a score means the
+    same whatever share of a class is sampled. A
     document with both labels counts as 0; missing ids and labels are left out. Without rows of both
     classes every score is the share of label 1, or 0.5 without any label.
     """
@@ -93,6 +95,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
         known = known.where(may_learn)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)))
+    counts = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
     parts = [known.where((F.col("quality") == q) & (F.col("half") == h))
                   .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for q in (0, 1) for h in (0, 1)]
     rows = [r for part in parts for r in part.collect()]  # at most 4 * sample_rows ids
@@ -107,7 +110,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
               .groupBy("quality", "h").agg(F.min("piece").alias("piece")).orderBy("h").collect())
     good, bad = ([bytes(r.piece) for r in pieces if r.quality == q and r.piece] for q in (1, 0))
     if not good or not bad:
-        share = (sum(r.quality for r in rows) + 1) / (len(rows) + 2)
+        share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
         return CompressionModel(b"", b"", float(np.log(share / (1 - share))), 0.0, level)
     model = CompressionModel(_dictionary(good, dictionary_bytes, level), _dictionary(bad, dictionary_bytes, level), 0.0, 1.0, level)
     rest = texts.where("half = 1")
@@ -115,7 +118,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     told = sorted((r.doc_id, r.difference, r.quality) for r in told)
     if len({q for _, _, q in told}) < 2:
         told = [(0, -0.05, 0), (1, 0.05, 1)]
-    b0, b1 = _logistic(np.array([x for _, x, _ in told]), np.array([q for _, _, q in told], float))
+    x, y = np.array([x for _, x, _ in told]), np.array([q for _, _, q in told], float)
+    share = counts[1] / (counts[0] + counts[1])
+    weight = len(told) * np.where(y == 1, share / y.sum(), (1 - share) / (len(told) - y.sum()))
+    b0, b1 = _logistic(x, y, weight)
     return CompressionModel(model.good, model.bad, b0, b1, level)
 
 
