@@ -3,7 +3,8 @@
 Text that occurs twice is first located by anchors: of the five-word hashes inside a window the
 smallest is its key, so equal windows have equal keys wherever they stand, and few keys cover a text.
 Keys that two documents share send the words around them to a shard chosen by the key. A
-shard's reference is a suffix automaton over its distinct passages; every state knows the smallest
+shard's reference is a suffix automaton over its distinct passages (of a key with many passages: over its single
+windows, dealt by a hash of all their words); every state knows the smallest
 document that holds its words. Passages run through it, and at each word the matching statistics give
 the longest match; where that spans a whole window, the window's state names its first document.
 The maximal runs of windows first seen in a smaller document are removed.
@@ -28,6 +29,7 @@ WINDOW, GRAM = 13, 5
 CHUNK_BYTES = 1 << 20  # text that is read together
 BUCKET_KEYS = 1 << 20  # keys compared by one task
 SHARD_WORDS = 50_000  # words of the corpus for each reference shard
+KEY_PASSAGES = 2_000  # passages of one key that stay whole and in one shard; with more, its windows are dealt singly
 NO_ID = 2 ** 63 - 1  # stands for a missing id: larger than any other
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -48,6 +50,10 @@ def window_keys(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> n
     return keys
 
 
+def window_hash(words: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "little")
+
+
 def passages(keys: np.ndarray, wanted: np.ndarray) -> tuple[list[int], list[int]]:
     """First and last window of each run of windows with one wanted key."""
     if not keys.size or not wanted.size:
@@ -127,17 +133,23 @@ class SuffixAutomaton:
 
 
 def shared_keys(blobs: DataFrame) -> DataFrame:
-    """chunk and keys (packed, sorted) that occur twice or more, from (bucket, chunk, keys); a chunk gives a key that
-    two of its documents have twice. A task sees a key once or twice for each chunk, however many rows hold it."""
+    """chunk, keys (packed, sorted) that occur twice or more and those of them with more than KEY_PASSAGES passages (hot), from
+    (bucket, chunk, keys, runs: the key's passages in the chunk); a chunk gives a key that two of its documents have twice.
+    A task sees a key once or twice for each chunk, however many rows hold it."""
+    most = KEY_PASSAGES
+
     def run(group: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()]
-        keys, count = np.unique(np.concatenate(parts), return_counts=True)
+        keys, place, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        runs = np.bincount(place, weights=np.frombuffer(b"".join(group.column("runs").to_pylist()), np.int64), minlength=keys.size)
+        hot = keys[(count > 1) & (runs > most)]
         keys = keys[count > 1]
         found = [np.unique(p[np.isin(p, keys)]) for p in parts]
         keep = [i for i, f in enumerate(found) if f.size]
-        return pa.table({"chunk": group.column("chunk").take(pa.array(keep, pa.int64())), "keys": binary_array([found[i].tobytes() for i in keep])})
+        return pa.table({"chunk": group.column("chunk").take(pa.array(keep, pa.int64())), "keys": binary_array([found[i].tobytes() for i in keep]),
+                         "hot": binary_array([found[i][np.isin(found[i], hot)].tobytes() for i in keep])})
 
-    return blobs.groupBy("bucket").applyInArrow(run, "chunk long, keys binary")
+    return blobs.groupBy("bucket").applyInArrow(run, "chunk long, keys binary, hot binary")
 
 
 def repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,29 +194,38 @@ def repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str =
         return out
 
     def give_keys(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = [np.unique(window_keys(word_hashes().of(words), window, gram)) for _, _, words in firsts_of(left, right)]
-        keys, count = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        bucket, (packed,) = blobs_by_bucket(np.repeat(keys, np.minimum(count, 2)), buckets)
+        own = [window_keys(word_hashes().of(words), window, gram) for _, _, words in firsts_of(left, right)]
+        starts = [k[np.append(True, k[1:] != k[:-1])] for k in own if k.size]  # one for each passage
+        none = np.zeros(0, np.uint64)
+        keys, count = np.unique(np.concatenate([none, *map(np.unique, own)]), return_counts=True)
+        runs = np.unique(np.concatenate([none, *starts]), return_counts=True)[1]
+        twice = np.minimum(count, 2)
+        told = np.zeros(twice.sum(), np.int64)
+        told[np.cumsum(twice) - twice] = runs
+        bucket, (packed, told) = blobs_by_bucket(np.repeat(keys, twice), buckets, told)
         chunk = left.column("chunk")[0].as_py() if left.num_rows else 0
-        return pa.table({"bucket": pa.array(bucket, pa.int64()), "chunk": pa.array([chunk] * len(bucket), pa.int64()), "keys": binary_array(packed)})
+        return pa.table({"bucket": pa.array(bucket, pa.int64()), "chunk": pa.array([chunk] * len(bucket), pa.int64()), "keys": binary_array(packed), "runs": binary_array(told)})
 
     by_chunk = texts.groupBy("chunk")
-    blobs = by_chunk.cogroup(notes.groupBy("chunk")).applyInArrow(give_keys, "bucket long, chunk long, keys binary")
-    shared = shared_keys(blobs).select("chunk", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("sha"), "keys", F.lit(None).cast("binary").alias("firsts"))
+    blobs = by_chunk.cogroup(notes.groupBy("chunk")).applyInArrow(give_keys, "bucket long, chunk long, keys binary, runs binary")
+    shared = shared_keys(blobs).select("chunk", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("sha"), "keys", F.col("hot").alias("firsts"))
+    # here ``firsts`` are the hot ones of the keys
 
     def give_passages(left: pa.Table, right: pa.Table) -> pa.Table:
         packed = [k for k in right.column("keys").to_pylist() if k is not None]
         wanted = np.unique(np.frombuffer(b"".join(packed), np.uint64))
+        hot = set(np.frombuffer(b"".join(k for k in right.column("firsts").to_pylist() if k is not None), np.uint64).tolist())
         found: dict[bytes, list] = {}  # a passage once for the chunk, with its smallest and largest document
         for i, _, words in firsts_of(left, right) if wanted.size else ():
             keys = window_keys(word_hashes().of(words), window, gram)
             for a, b in zip(*passages(keys, wanted)):
-                own = b" ".join(words[a:b + window])
-                seen = found.setdefault(own, [int(keys[a]), i, i])
-                seen[1], seen[2] = min(seen[1], i), max(seen[2], i)
+                key = int(keys[a])
+                for own in [b" ".join(words[k:k + window]) for k in range(a, b + 1)] if key in hot else [b" ".join(words[a:b + window])]:
+                    seen = found.setdefault(own, [key, i, i])
+                    seen[1], seen[2] = min(seen[1], i), max(seen[2], i)
         chunk = left.column("chunk")[0].as_py() if left.num_rows else 0
         rows = list(found.values())
-        return pa.table({"shard": pa.array([k % shards for k, _, _ in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int64()),
+        return pa.table({"shard": pa.array([shards + window_hash(w) % (window * shards) if k in hot else k % shards for w, (k, _, _) in found.items()], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int64()),
                          "key": pa.array(np.array([k for k, _, _ in rows], np.uint64).view(np.int64)), "words": binary_array(list(found)),
                          "low": pa.array([a for _, a, _ in rows], pa.int64()), "high": pa.array([b for _, _, b in rows], pa.int64())})
 
@@ -237,6 +258,9 @@ def repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str =
             gone = np.zeros(len(words) + 1, np.int64)
             for a, b in zip(*passages(keys, wanted)):
                 before = known.get(b" ".join(words[a:b + window]))
+                if before is None and b > a:  # a hot key's windows come singly
+                    one = [known.get(b" ".join(words[k:k + window])) for k in range(a, b + 1)]
+                    before = np.array([NO_ID if f is None else f[0] for f in one], np.int64)
                 if before is not None:
                     hit = a + np.flatnonzero(before < i)
                     np.add.at(gone, hit, 1)
