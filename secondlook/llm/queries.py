@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secondlook.llm import bpe, compression, decontaminate, fertility, fuzzylines, htmltext, jaccard, kdtree, records, substring
+from secondlook.llm import bpe, compression, decontaminate, fertility, fuzzylines, htmltext, jaccard, kdtree, merkle, records, substring
 from secondlook.llm.common import table
 from secondlook.session import stage_path
 
@@ -80,3 +80,73 @@ def op7_divideskip_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzylines.dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    leaf = merkle.leaf_digest(*map(F.col, fields))
+    emptied = merkle.leaf_digest(*map(F.col, fields[:-1]), F.replace("text", F.lit("\n"), F.lit("")))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    manifest = merkle.build(table(spark, sf_dir, "documents"), leaf, F.when(tampered, emptied).otherwise(leaf))
+    return merkle.verified(manifest.proofs()).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.translate("path", "|,", "").cast("binary"), 256).alias("proof_sha256"),
+        "folded_root", "verified")
+
+
+# crc32 bit by bit over the decimal id; levels of both trees by recursion; siblings folded by list_reduce
+ORACLES["op11_merkle_manifest"] = """
+WITH RECURSIVE
+bits AS (
+  SELECT doc_id, list_transform(range(8 * strlen(doc_id::VARCHAR)),
+    lambda k: ((ascii(substr(doc_id::VARCHAR, k // 8 + 1, 1)) >> (k % 8)::INT) & 1)::BIGINT) AS bit FROM documents),
+crc AS (
+  SELECT DISTINCT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, bit),
+    lambda c, b: xor(c >> 1, CASE WHEN xor(c & 1, b) = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)), 4294967295::BIGINT) AS crc FROM bits),
+fields AS (
+  SELECT d.doc_id, d.source, crc.crc % 2 = 0 AS tampered, replace(d.text, chr(10), '') AS cut, d.text,
+    coalesce(strlen(d.doc_id::VARCHAR) || ':' || d.doc_id, '-') || coalesce(strlen(d.source) || ':' || d.source, '-')
+    || coalesce(strlen(d.lang) || ':' || d.lang, '-') || coalesce(strlen(d.n_chars::VARCHAR) || ':' || d.n_chars, '-') AS head
+  FROM documents d LEFT JOIN crc ON d.doc_id IS NOT DISTINCT FROM crc.doc_id),
+digests AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN tampered THEN sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS claim
+  FROM fields),
+rows AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM digests),
+tree AS (
+  SELECT source, 0 AS level, place, n, leaf AS h FROM rows
+  UNION ALL
+  SELECT source, max(level) + 1, place // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY place)) FROM tree WHERE n > 1 GROUP BY source, place // 3),
+subroots AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS place, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS level, place, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT max(level) + 1, place // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY place)) FROM top WHERE n > 1 GROUP BY place // 3),
+root AS (SELECT h AS root FROM top WHERE n = 1),
+own_steps AS (
+  SELECT a.source, a.level, a.place, coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS before,
+    coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS after
+  FROM tree a JOIN tree b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.place // 3 = b.place // 3
+  WHERE a.n > 1 GROUP BY ALL),
+top_steps AS (
+  SELECT a.level, a.place, coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS before,
+    coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS after
+  FROM top a JOIN top b ON a.level = b.level AND a.place // 3 = b.place // 3 WHERE a.n > 1 GROUP BY ALL),
+steps AS (
+  SELECT r.source, r.place, s.level, s.before, s.after FROM rows r
+  JOIN own_steps s ON r.source IS NOT DISTINCT FROM s.source AND s.place = r.place // (3 ** s.level)::BIGINT
+  UNION ALL
+  SELECT r.source, r.place, 1000 + s.level, s.before, s.after FROM rows r JOIN subroots t ON r.source IS NOT DISTINCT FROM t.source
+  JOIN top_steps s ON s.place = t.place // (3 ** s.level)::BIGINT),
+paths AS (
+  SELECT source, place, list(before || '|' || after ORDER BY level) AS path, string_agg(before || after, '' ORDER BY level) AS siblings
+  FROM steps GROUP BY ALL),
+folded AS (
+  SELECT r.doc_id, r.leaf, t.subroot, root.root, sha256(coalesce(p.siblings, '')) AS proof_sha256,
+    list_reduce(list_prepend(r.claim, coalesce(p.path, [])), lambda h, s: sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2))) AS folded_root
+  FROM rows r JOIN subroots t ON r.source IS NOT DISTINCT FROM t.source CROSS JOIN root
+  LEFT JOIN paths p ON r.source IS NOT DISTINCT FROM p.source AND r.place = p.place)
+SELECT *, folded_root = root AS verified FROM folded
+"""
