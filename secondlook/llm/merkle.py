@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from secondlook.llm.common import map_arrow, shuffle_partitions, small_batches, stage
 
@@ -323,5 +324,6 @@ def verified(proofs: DataFrame, claim: str = "claim") -> DataFrame:
         found = pa.array([None if c is None else fold(c, p) for c, p in zip(claims, paths)], pa.string())
         return pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "folded_root"])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in proofs.schema], "folded_root string"])
+    proofs = proofs.drop("folded_root", "verified")
+    schema = StructType([*proofs.schema.fields]).add("folded_root", "string")
     return map_arrow(proofs, run, schema).withColumn("verified", F.coalesce(F.col("folded_root") == F.col("root"), F.lit(False)))

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secondlook.llm import bpe, compression, decontaminate, fertility, fuzzylines, htmltext, jaccard, kdtree, merkle, records, substring
+from secondlook.llm import bpe, compression, decontaminate, fertility, fim, fuzzylines, htmltext, jaccard, kdtree, licences, merkle, records, substring
 from secondlook.llm.common import table
+from secondlook.llm.licence_texts import NOTICES, PHRASES
 from secondlook.session import stage_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +151,83 @@ folded AS (
   LEFT JOIN paths p ON r.source IS NOT DISTINCT FROM p.source AND r.place = p.place)
 SELECT *, folded_root = root AS verified FROM folded
 """
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    key = F.concat(F.lit("1:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return fim.restore(fim.transform(documents, fim.draws(key))).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", sha("text").alias("output_sha256"), sha("restored").alias("restored_sha256"),
+        "prefix_bytes", "middle_bytes")
+
+
+ORACLES["op13_fill_in_middle"] = """
+WITH keyed AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hex FROM documents),
+drawn AS (
+  SELECT doc_id, text, length(text) AS n, ('0x' || substr(hex, 1, 8))::BIGINT AS h1, ('0x' || substr(hex, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(hex, 17, 8))::BIGINT AS h3, ('0x' || substr(hex, 25, 8))::BIGINT AS h4 FROM keyed),
+cut AS (
+  SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (
+  SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256,
+  CASE WHEN form <> 'plain' THEN strlen(prefix) END AS prefix_bytes, CASE WHEN form <> 'plain' THEN strlen(middle) END AS middle_bytes
+FROM parts
+"""
+
+
+@query
+def op12_licence_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_TEMPLATES = ", ".join(f"({_quoted(label)}, {_quoted(text)}, {base})" for label, text, base in
+                       [*((label, phrase, True) for phrase, label in PHRASES.items()), *((label, text, False) for label, text in NOTICES)])
+_WORDS = r"""regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+# the same votes over the words themselves
+ORACLES["op12_licence_diagonals"] = f"""
+WITH templates AS (
+  SELECT row_number() OVER () AS template, label, base, {_WORDS.format('notice')} AS words FROM (VALUES {_TEMPLATES}) AS t(label, notice, base)),
+sized AS (SELECT *, len(words) AS len, CASE WHEN len(words) > {licences.LONG} THEN {licences.LONG} ELSE {licences.SHORT} END AS size FROM templates),
+template_grams AS (
+  SELECT template, size, place, array_to_string(words[place + 1:place + size], ' ') AS gram
+  FROM (SELECT *, unnest(range(len - size + 1)) AS place FROM sized)),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+places AS (SELECT rid, words, unnest(range(len(words))) AS word FROM docs),
+document_grams AS (
+  SELECT rid, word, size, array_to_string(words[word + 1:word + size], ' ') AS gram
+  FROM places, (VALUES ({licences.SHORT}), ({licences.LONG})) AS s(size) WHERE word + size <= len(words)),
+votes AS (
+  SELECT rid, template, word - place AS diagonal, list(place) AS hits FROM document_grams JOIN template_grams USING (gram, size) GROUP BY ALL),
+steps AS (
+  SELECT v.*, t.label, t.base, t.len, t.size,
+    (diagonal - lag(diagonal) OVER beside <= CASE WHEN t.base THEN 0 ELSE least({licences.DRIFT}, t.len // 4) END) IS NOT TRUE AS apart
+  FROM votes v JOIN sized t USING (template) WINDOW beside AS (PARTITION BY rid, template ORDER BY diagonal)),
+joined AS (SELECT *, sum(apart::INT) OVER (PARTITION BY rid, template ORDER BY diagonal) AS span FROM steps),
+merged AS (
+  SELECT rid, template, label, base, len, span, count(DISTINCT p + k) AS covers, count(DISTINCT p + k + diagonal) AS words,
+    min(p + diagonal) AS first, max(p + diagonal + size - 1) AS last
+  FROM (SELECT *, unnest(hits) AS p FROM joined), (SELECT unnest(range({licences.LONG})) AS k) WHERE k < size GROUP BY ALL),
+judged AS (
+  SELECT *, least(covers, words) / len AS share,
+    CASE WHEN base THEN least(covers, words) >= len
+      ELSE least(covers, words) / len >= {licences.LEAST_SHARE} AND last - first + 1 <= len * {licences.SLACK} END AS found FROM merged)
+SELECT d.doc_id, len(d.words) AS n_words, count(*) FILTER (j.base AND j.found) AS n_base,
+  min(j.first) FILTER (j.base AND j.found) AS first_word, max(j.first) FILTER (j.base AND j.found) AS last_word,
+  coalesce(string_agg(DISTINCT j.label, ',' ORDER BY j.label) FILTER (j.base AND j.found), '') AS base_labels,
+  coalesce(string_agg(DISTINCT j.label, ',' ORDER BY j.label) FILTER (j.found), '') AS labels, least(1.0::DOUBLE, coalesce(max(j.share), 0.0)) AS score
+FROM docs d LEFT JOIN judged j USING (rid) GROUP BY d.rid, d.doc_id, d.words
+"""
