@@ -1,7 +1,8 @@
 """Linear and quadratic discriminant analysis (ML-10..12).
 
-One grouped aggregate yields counts, means and covariances; the p x p algebra runs
-on the driver and the classifier is a column expression.
+One pass over an array of the features yields counts, means and covariances of all classes: each task adds up blocks
+of products, and what tasks send is merged about the means. The p x p algebra runs on the driver. A classifier of few
+products is a column expression, a wider one works on batches of the array.
 """
 
 from __future__ import annotations
@@ -10,11 +11,15 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Aggregates per job: wider tables are read once per this many covariances.
-AGGREGATES_PER_PASS = 120
+from secondlook.models.merging import Moments, tasks_of
+
+MAX_CLASSES = 1_000
+MAX_PRODUCTS = 4_000_000  # classes x pairs of features: numbers that a task sends
+PRODUCTS_IN_COLUMN = 500  # of a quadratic classifier that is written out as an expression
 
 
 class SingularCovariance(ValueError):
@@ -29,25 +34,28 @@ class ClassMoments:
     cov: np.ndarray
 
 
+def _array(features: list[str]) -> Column:
+    return F.array(*[F.col(f).cast("double") for f in features])
+
+
 def class_moments(df: DataFrame, label: str, features: list[str]) -> list[ClassMoments]:
-    """Count, mean and covariance per class; rows with a missing value are left out."""
+    """Count, mean and covariance per class; rows with a missing value are left out.
+
+    The table is read once for the classes and once for all products of features.
+    """
     rows = df.select(label, *features).dropna("any")
-    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    head = [F.count("*").alias("n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)]]
-    found: dict = {}
-    for start in range(0, len(pairs), AGGREGATES_PER_PASS):
-        part = pairs[start:start + AGGREGATES_PER_PASS]
-        covs = [F.covar_samp(features[i], features[j]).alias(f"c{i}_{j}") for i, j in part]
-        for r in rows.groupBy(label).agg(*(head if start == 0 else []), *covs).collect():
-            found.setdefault(r[label], {}).update(r.asDict())  # one row per class
-    out = []
-    for value in sorted(found):
-        r, p = found[value], len(features)
-        cov = np.zeros((p, p))
-        for i, j in pairs:
-            cov[i, j] = cov[j, i] = np.nan if r[f"c{i}_{j}"] is None else r[f"c{i}_{j}"]
-        out.append(ClassMoments(value, r["n"], np.array([r[f"m{i}"] for i in range(p)]), cov))
-    return out
+    classes = sorted(r[0] for r in rows.select(label).distinct().limit(MAX_CLASSES + 1).collect())
+    p = len(features)
+    if len(classes) > MAX_CLASSES or len(classes) * p * (p + 1) // 2 > MAX_PRODUCTS:
+        raise ValueError(f"too many classes or features: {len(classes)} and {p}")
+    if not classes:
+        return []
+    code = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
+    encoded = rows.select(code.cast("int").alias("code"), _array(features).alias("x"))
+    counts, means, products = Moments(len(classes), p, full=True).over(encoded, tasks_of(encoded))
+    with np.errstate(divide="ignore", invalid="ignore"):  # a class of one row has no covariance
+        return [ClassMoments(c, int(n), m, s / (n - 1) if n > 1 else np.full((p, p), np.nan))
+                for c, n, m, s in zip(classes, counts, means, products)]
 
 
 def _inverse(cov: np.ndarray, what: str) -> np.ndarray:
@@ -144,7 +152,25 @@ class QuadraticDiscriminant:
         return out
 
     def classify(self, df: DataFrame, name: str = "predicted") -> DataFrame:
-        return df.withColumn(name, _argmax(self.scores()))
+        width = len(self.features)
+        if len(self.classes) * width * (width + 1) // 2 <= PRODUCTS_IN_COLUMN:
+            return df.withColumn(name, _argmax(self.scores()))
+        total = sum(c.n for c in self.classes)
+        constants = [float(np.log(c.n / total) - np.linalg.slogdet(c.cov)[1] / 2) for c in self.classes]
+        means, halves = [c.mean for c in self.classes], [np.linalg.cholesky(i) for i in self.inverses]
+
+        @F.pandas_udf("int")
+        def best(x: pd.Series) -> pd.Series:
+            known = x.notna().to_numpy()
+            points = np.stack(x[known].to_numpy()).astype(float) if known.any() else np.zeros((0, width))
+            scores = np.stack([k - (((points - m) @ h) ** 2).sum(axis=1) / 2 for k, m, h in zip(constants, means, halves)])
+            out = np.zeros(len(x), np.int32)  # a first score wins ties; NaN, from a missing value, wins over all
+            out[known] = np.where(np.isnan(scores).any(axis=0), 0, scores.argmax(axis=0) + 1)
+            return pd.Series(out)
+
+        labels = F.array(*[F.lit(c.label) for c in self.classes])
+        place = best(_array(self.features))
+        return df.withColumn(name, F.when(place > 0, F.get(labels, place - 1)))
 
 
 def fit_qda(df: DataFrame, label: str, features: list[str]) -> QuadraticDiscriminant:

@@ -64,7 +64,8 @@ def auc(df: DataFrame, score: str, label: str, by: list[str] | None = None,
         name: str = "auc") -> DataFrame:
     """Exact area under the ROC curve, tied scores counting half (ML-8, ML-9).
 
-    Missing when a class is absent. Works for probabilities and for hard classes.
+    Scores are ordered as doubles are: minus infinity, numbers, infinity, then NaN, the highest and equal
+    to itself. Rows without a score or a label are left out. Missing when a class is absent. Works for probabilities and for hard classes.
     """
     by = by or []
     curve = running_totals(_score_groups(df, score, label, by), "score",
@@ -94,9 +95,9 @@ def precision_report(df: DataFrame, predicted: str, actual: str) -> DataFrame:
 
 
 def sensitivity_specificity(df: DataFrame, predicted: str, actual: str,
-                            by: list[str] | None = None) -> DataFrame:
-    """Share of each class that is called right, per group (ML-16)."""
+                            by: list[str] | None = None, event: int = 1) -> DataFrame:
+    """Share of the class ``event`` and of the other one that is called right, per group (ML-16)."""
     p, a = F.col(predicted), F.col(actual)
     return df.groupBy(*(by or [])).agg(
-        F.avg(F.when(a == 1, (p == 1).cast("int"))).alias("sensitivity"),
-        F.avg(F.when(a == 0, (p == 0).cast("int"))).alias("specificity"))
+        F.avg(F.when(a == event, (p == event).cast("int"))).alias("sensitivity"),
+        F.avg(F.when(a == 1 - event, (p == 1 - event).cast("int"))).alias("specificity"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from secondlook.functions.scalars import records
-from secondlook.operators.ranking import exact_quantiles
+from secondlook.operators.ranking import exact_quantiles, global_row_number
+from secondlook.session import stage
 
 DENSITY_POINTS = 512  # fixed value: grid of a density estimate
 DEFAULT_BINS = 30     # fixed value: bins when no width is given
+GAP_PIECE = 65_536    # empty bins that one row stands for, at least, before they are written out
 
 
 def kernel_density(df: DataFrame, x: str, by: str, points: int = DENSITY_POINTS) -> DataFrame:
@@ -53,21 +56,44 @@ def kernel_density(df: DataFrame, x: str, by: str, points: int = DENSITY_POINTS)
             .withColumnRenamed("__by", by))
 
 
-def _dense(counts: DataFrame, by: str, low, high) -> DataFrame:
-    """Every class with every bin of the common range, absent ones 0."""
-    edges = counts.agg(F.sequence(low, high)).scalar()
-    grid = counts.select(by).distinct().withColumn("bin", F.explode(edges))
-    mine = counts.withColumnsRenamed({by: "__by", "bin": "__bin"})
-    match = F.col(by).eqNullSafe(F.col("__by")) & (F.col("bin") == F.col("__bin"))
-    return grid.join(mine, match, "left").select(by, "bin", F.coalesce("n", F.lit(0)).alias("n"))
+def _dense(counts: DataFrame, by: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    """Every class with every bin from ``low`` to ``high`` (by default, of all counts), absent ones 0.
+
+    The counts are written once; what follows reads them, not the rows. Numbered in order of class and bin, each count sees the
+    next one by a join on the numbers, and the gap between them, or up to the range's ends, becomes
+    rows of its own: first as pieces of at most the square root of the range, then bin by bin.
+    No array holds the range, and the rows that fill it are not shuffled.
+    """
+    counts = stage(counts.select(by, "bin", "n"), "bin-counts")
+    edge = counts.agg(F.min("bin").alias("low"), F.max("bin").alias("high")).first()
+    low, high = edge["low"] if low is None else low, edge["high"] if high is None else high
+    if low is None:
+        return counts
+    piece = max(GAP_PIECE, math.isqrt(high - low + 1))
+    ordered = stage(global_row_number(counts.select(F.col(by).alias("__by"), "bin"), "__by", "bin", name="__idx"), "bins-in-order")
+    following = ordered.select((F.col("__idx") - 1).alias("__idx"), F.col("__by").alias("__next"), F.col("bin").alias("__next_bin"),
+                               F.lit(True).alias("__any"))
+    pairs = ordered.join(following, "__idx", "left")
+    same = F.coalesce(F.col("__any"), F.lit(False)) & F.col("__by").eqNullSafe(F.col("__next"))
+    start, end = F.lit(low).cast("long"), F.lit(high).cast("long")
+    gaps = records(["__class", "first", "last"],
+                   (F.col("__by"), F.col("bin") + 1, F.when(same, F.col("__next_bin") - 1).otherwise(end)),
+                   (F.col("__next"), start, F.when(F.col("__any") & ~same, F.col("__next_bin") - 1).otherwise(start - 1)),
+                   (F.col("__by"), start, F.when(F.col("__idx") == 1, F.col("bin") - 1).otherwise(start - 1)))
+    pieces = (pairs.select(F.inline(gaps)).where("first <= last")
+              .withColumn("first", F.explode(F.sequence("first", "last", F.lit(piece))))
+              .withColumn("last", F.least(F.col("last"), F.col("first") + piece - 1))
+              .repartition("__class", "first"))
+    filled = pieces.select(F.col("__class").alias(by), F.explode(F.sequence("first", "last")).alias("bin"), F.lit(0).cast("long").alias("n"))
+    return counts.unionByName(filled)
 
 
 def frequency_by_width(df: DataFrame, x: str, by: str, width: float = 1.0) -> DataFrame:
-    """Counts per class in bins centred on multiples of ``width``, empty bins shown (EDA-2)."""
+    """Counts per class in bins centred on multiples of ``width``, empty bins shown (EDA-2). The rows are read once."""
     counts = (df.filter(F.col(x).isNotNull())
               .groupBy(by, F.floor(F.col(x) / F.lit(width) + F.lit(0.5)).alias("bin"))
               .agg(F.count("*").alias("n")))
-    return (_dense(counts, by, F.min("bin"), F.max("bin"))
+    return (_dense(counts, by)
             .select(by, (F.col("bin") * F.lit(width)).alias("x"), "n"))
 
 
@@ -80,7 +106,7 @@ def frequency_by_bins(df: DataFrame, x: str, by: str, bins: int = DEFAULT_BINS)
               .withColumn("bin", F.when(F.col("__s.high") > F.col("__s.low"), F.least(place, F.lit(bins)))
                           .otherwise(F.lit(1).cast("long")))
               .groupBy(by, "bin").agg(F.count("*").alias("n")))
-    return _dense(counts, by, F.lit(1).cast("long"), F.lit(bins).cast("long"))
+    return _dense(counts, by, 1, bins)
 
 
 def cell_counts(df: DataFrame, x: str, y: str, by: str, x_width: float, y_width: float) -> DataFrame:

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from secondlook.operators.joins import complement, salted_join, semi_join, suffixed
+from secondlook.operators.joins import HOT_MIN_ROWS, complement, salted_join, semi_join, suffixed
 from secondlook.operators.ordering import sort_keys
+from secondlook.session import stage
 
 
 def first_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -41,15 +43,26 @@ def later_rows(df: DataFrame, key: str, *order: str, row_id: str) -> DataFrame:
     return complement(df, first_per_key(narrow, key, *order, row_id), row_id)
 
 
-def single_rows(df: DataFrame, key: str) -> DataFrame:
+def single_rows(df: DataFrame, key: str, hot_rows: int = HOT_MIN_ROWS) -> DataFrame:
     """Rows whose key occurs exactly once; all copies of other keys go (WIN-1).
 
-    A group count that carries one row along: copies collapse before the shuffle.
+    Two 64-bit hashes stand for the key: their counts need two numbers per key and no sort of rows. The
+    counts kept are those of single keys and of very frequent ones. Rows of the latter, fewer than ``1 / hot_rows`` of all
+    rows in number, leave before the shuffle; of the rest those of a single key are fetched. Two different keys with 128 equal bits
+    would be taken for copies.
     """
-    others = [c for c in df.columns if c != key]
-    return (df.groupBy(key)
-            .agg(F.count("*").alias("__n"), F.any_value(F.struct(*others)).alias("__row"))
-            .filter("__n = 1").select(key, "__row.*").select(*df.columns))
+    value = F.col(key)
+    if isinstance(df.schema[key].dataType, (T.ArrayType, T.MapType, T.StructType)):  # a hash passes over missing members
+        value = F.when(value.isNotNull(), F.to_json(F.struct(key), {"ignoreNullFields": "false"}))
+    one = F.xxhash64(value, value.isNull())
+    other = F.xxhash64(F.lit(key), value.isNull(), value)
+    hashed = df.withColumns({"__h1": one, "__h2": other})
+    counts = hashed.groupBy("__h1", "__h2").agg(F.count("*").alias("__n"))
+    counts = stage(counts.where((F.col("__n") == 1) | (F.col("__n") > hot_rows)), "key-digests")
+    frequent = counts.where("__n > 1").select("__h1", "__h2")
+    if not frequent.isEmpty():
+        hashed = hashed.join(F.broadcast(frequent), ["__h1", "__h2"], "left_anti")
+    return hashed.join(counts.where("__n = 1").select("__h1", "__h2"), ["__h1", "__h2"], "left_semi").select(*df.columns)
 
 
 def key_counts(df: DataFrame, *keys: str) -> DataFrame:

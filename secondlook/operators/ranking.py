@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,14 +64,15 @@ def running_totals(df: DataFrame, order: str, sums: dict[str, str], by: list[str
     ``sums`` maps each new column to the column it accumulates. Value ranges cut
     from approximate quantiles keep every window partition to a fraction of the
     rows; the sums of earlier ranges (ranges x groups rows) are then added. The
-    range is a function of the value alone, so retried tasks agree.
+    range is a function of the value alone, so retried tasks agree. Infinite values lie in the
+    outermost ranges; NaN, which sorts above all numbers, in a range of its own.
     """
     by = by or []
     parts = shuffle_partitions(df.sparkSession)
     cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.5 / parts)
-    inner = sorted({c for c in cuts if c is not None})
+    inner = sorted({c for c in cuts if c is not None and math.isfinite(c)})
     edges = [float("-inf"), *inner, float("inf")]
-    ranged = (Bucketizer(splits=edges, inputCol="__order", outputCol="__range", handleInvalid="error")
+    ranged = (Bucketizer(splits=edges, inputCol="__order", outputCol="__range", handleInvalid="keep")
               .transform(df.withColumn("__order", F.col(order).cast("double"))).drop("__order"))
     ahead = -F.col("__range") if descending else F.col("__range")
     key = F.col(order).desc() if descending else F.col(order).asc()

@@ -48,10 +48,10 @@ def cut_points(df: DataFrame, row_id: str, seed: int, positions: Callable[[Colum
               .filter(F.size("__places") > 0)
               .select(F.col("__by").alias("__w_by"), F.col("__bucket").alias("__w_bucket"),
                       "__places", "__all"))
-    # At most one row per position and class level, so it may be broadcast.
+    # Without classes one row per position; with them Spark checks the size.
     held = F.col("__by").eqNullSafe(F.col("__w_by")) & (F.col("__bucket") == F.col("__w_bucket"))
     in_bucket = Window.partitionBy("__by", "__bucket").orderBy("__hash", "__id")
-    ranked = bucketed.join(F.broadcast(wanted), held).withColumn("__rank", F.row_number().over(in_bucket))
+    ranked = bucketed.join(wanted if by else F.broadcast(wanted), held).withColumn("__rank", F.row_number().over(in_bucket))
     cut = F.struct(F.col("__hash").alias("hash"), F.col("__id").alias("id"))
     times = F.size(F.filter("__places", lambda p: p == F.col("__rank")))
     found = (ranked.filter(F.array_contains("__places", F.col("__rank").cast("long")))

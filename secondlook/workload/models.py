@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from secondlook.models import discriminant, evaluate, glm, knn, smote
 from secondlook.operators import eda
 from secondlook.operators import sampling as M
-from secondlook.session import stage
+from secondlook.session import stage, stage_path
+from secondlook.sources.tables import PublishedRuns
 from secondlook.workload import standins as I
+from secondlook.workload.newton import chi_square_tail
 from secondlook.workload.registry import query
 from secondlook.workload.standins import hash_sql
 
@@ -110,13 +112,15 @@ def _called_model(spark, sf):
 
 @query("ml2_glm_closed_form", f"""
   SELECT 'called' AS term, round(ln(a*d/(b*c)), 6) AS estimate, round(sqrt(1/a+1/b+1/c+1/d), 6) AS std_error,
-    round(ln(a*d/(b*c)) / sqrt(1/a+1/b+1/c+1/d), 5) AS z_value FROM {_TWO} t
-  UNION ALL SELECT '(Intercept)', round(ln(c/d), 6), round(sqrt(1/c+1/d), 6), round(ln(c/d)/sqrt(1/c+1/d), 5)
+    round(ln(a*d/(b*c)) / sqrt(1/a+1/b+1/c+1/d), 5) AS z_value,
+    round({chi_square_tail('pow(ln(a*d/(b*c)), 2) / (1/a+1/b+1/c+1/d)')}, 6) AS p_value FROM {_TWO} t
+  UNION ALL SELECT '(Intercept)', round(ln(c/d), 6), round(sqrt(1/c+1/d), 6), round(ln(c/d)/sqrt(1/c+1/d), 5),
+    round({chi_square_tail('pow(ln(c/d), 2) / (1/c+1/d)')}, 6)
   FROM {_TWO} t""")
 def ml2(spark, sf):
     model, rows = _called_model(spark, sf)
-    table = glm.coefficient_table(model, rows.withColumnRenamed("label", "hit")).drop("p_value")
-    return rounded(rounded(table, 6, "estimate", "std_error"), 5, "z_value")
+    table = glm.coefficient_table(model, rows.withColumnRenamed("label", "hit"))
+    return rounded(rounded(table, 6, "estimate", "std_error", "p_value"), 5, "z_value")
 
 
 @query("ml3_deviances", f"""
@@ -173,11 +177,16 @@ def ml18(spark, sf):
     return rounded(glm.fold_auc(_folded(spark, sf), "hit ~ called", "hit"), 9, "auc")
 
 
-@query("ml16_cross_validated_roc", _FOLD_AUC.format(train="f.fold <> k.k") + """
-  SELECT 'roc' AS measure, round(avg(auc), 8) AS mean, round(stddev_samp(auc), 8) AS sd FROM a""")
+# The class called is the one that half of the training rows or more of the same kind have.
+@query("ml16_cross_validated_roc", _FOLD_AUC.format(train="f.fold <> k.k") + """,
+  g AS (SELECT k, called, avg(label) >= 0.5 AS hit FROM f JOIN k ON f.fold <> k.k GROUP BY k, called),
+  r AS (SELECT g.k, avg(CASE WHEN label = 1 THEN CAST(hit AS INTEGER) END) AS sens,
+    avg(CASE WHEN label = 0 THEN CAST(NOT hit AS INTEGER) END) AS spec FROM f JOIN g ON f.fold = g.k AND f.called = g.called GROUP BY g.k),
+  long AS (SELECT 'roc' AS measure, auc AS v FROM a UNION ALL SELECT 'sensitivity', sens FROM r
+    UNION ALL SELECT 'specificity', spec FROM r)
+  SELECT measure, round(avg(v), 8) AS mean, round(stddev_samp(v), 8) AS sd FROM long GROUP BY measure""")
 def ml16(spark, sf):
-    report = glm.cross_validate(_folded(spark, sf), "hit ~ called", "hit")
-    return rounded(report.filter("measure = 'roc'"), 8, "mean", "sd")
+    return rounded(glm.cross_validate(_folded(spark, sf), "hit ~ called", "hit"), 8, "mean", "sd")
 
 
 @query("ml19_analysis_of_deviance", f"""
@@ -190,6 +199,25 @@ def ml19(spark, sf):
     return rounded(glm.analysis_of_deviance(rows, "hit", ["called"]).drop("p_value"), 5, "deviance", "resid_dev")
 
 
+# One binary predictor that may be missing: three groups, so the fit that passes missing values on is their logits.
+_HOLES = """(SELECT label, CASE WHEN part <> '5-LOW' THEN called END AS called FROM {0} t)""".format(I.SCORED.sql)
+_LOGITS = f"""(SELECT ln(avg(label) FILTER (WHERE called = 0) / avg(1 - label) FILTER (WHERE called = 0)) AS zero,
+  ln(avg(label) FILTER (WHERE called = 1) / avg(1 - label) FILTER (WHERE called = 1)) AS one,
+  ln(avg(label) FILTER (WHERE called IS NULL) / avg(1 - label) FILTER (WHERE called IS NULL)) AS hole FROM {_HOLES} h)"""
+
+
+@query("flt10_missing_predictors", f"""
+  SELECT 'pass' AS missing, '(Intercept)' AS term, round(zero, 6) AS estimate FROM {_LOGITS} t
+  UNION ALL SELECT 'pass', 'called', round(one - zero, 6) FROM {_LOGITS} t
+  UNION ALL SELECT 'pass', 'called_missing', round(hole - zero, 6) FROM {_LOGITS} t
+  UNION ALL SELECT 'skip', '(Intercept)', round(zero, 6) FROM {_LOGITS} t
+  UNION ALL SELECT 'skip', 'called', round(one - zero, 6) FROM {_LOGITS} t""")
+def flt10(spark, sf):
+    rows = scored(spark, sf).select("label", F.when(F.col("part") != "5-LOW", F.col("called")).cast("double").alias("called"))
+    tables = [glm.fit_table(rows, "label", ["called"], m).select(F.lit(m).alias("missing"), "term", "estimate") for m in ("pass", "skip")]
+    return rounded(tables[0].union(tables[1]), 6, "estimate")
+
+
 @query("ml15_centre_and_scale", """
   SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER (), 8) AS scaled
   FROM customer""")
@@ -451,3 +479,32 @@ def eda4(spark, sf):
 def eda5(spark, sf):
     table = eda.correlations(I.read(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
     return rounded(table, 8, "r")
+
+
+# --- the tables behind the plots, published as one run ---------------------------------------
+
+def _published(spark, sf):
+    customers, parts = I.read(spark, sf, "customer"), I.read(spark, sf, "part")
+    runs = PublishedRuns(spark, stage_path(spark, "eda-runs"))
+    runs.publish("first", {
+        "density": eda.kernel_density(customers, "c_acctbal", "c_mktsegment"), "by_width": eda.frequency_by_width(parts, "p_size", "p_brand"),
+        "by_bins": eda.frequency_by_bins(customers, "c_acctbal", "c_mktsegment"),
+        "cells": eda.cell_counts(parts, "p_size", "p_retailprice", "p_type", 5.0, 100.0)})
+    return runs
+
+
+@query("snk3_published_tables", """
+  SELECT 'density' AS "table", 512 * count(DISTINCT c_mktsegment) AS rows, 4 AS n_columns FROM customer
+  UNION ALL SELECT 'by_width', count(DISTINCT p_brand) * (max(p_size) - min(p_size) + 1), 3 FROM part
+  UNION ALL SELECT 'by_bins', 30 * count(DISTINCT c_mktsegment), 3 FROM customer
+  UNION ALL SELECT 'cells', count(*), 4 FROM (SELECT DISTINCT p_type, floor(p_size / 5.0), floor(p_retailprice / 100) FROM part)""")
+def snk3_tables(spark, sf):
+    fields = F.size(F.from_json(F.get_json_object("columns", "$.fields"), "array<string>"))
+    return _published(spark, sf).manifest("first").select("table", "rows", fields.alias("n_columns"))
+
+
+@query("snk3_read_back", """
+  SELECT p_type, CAST(floor(p_size / 5.0) AS BIGINT) AS x_cell, CAST(floor(p_retailprice / 100) AS BIGINT) AS y_cell,
+    count(*) AS n FROM part GROUP BY ALL""")
+def snk3_back(spark, sf):
+    return _published(spark, sf).read("first", "cells")

@@ -176,3 +176,19 @@ def test_profile_identities(spark):
         if r.comparison == "source_product":
             by_source[r.first_flag] += r.n
     assert dict(by_source) == {r.first_flag: r.n for r in profile if r.comparison == "source"}
+
+
+def test_single_rows_without_sorting_rows(spark):
+    """Frequent keys leave before the shuffle; counts are hash aggregates; any type may be a key."""
+    rows = [("hot", i) for i in range(300)] + [("b", 1), ("c", 2), ("c", 3), (None, 4), ("", 5)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(5)
+    for hot in (10, 10 ** 6):
+        assert values(K.single_rows(df, "k", hot)) == sorted([("b", 1), (None, 4), ("", 5)], key=repr)
+    plan = K.single_rows(df, "k")._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan
+    twice = df.union(df)
+    assert K.single_rows(twice, "k").count() == 0 and K.single_rows(df.limit(0), "k").count() == 0
+    odd = spark.createDataFrame([([1], 1), ([1], 2), ([], 3), (None, 4), ([None], 5)], "k array<int>, v int")
+    assert [r.v for r in K.single_rows(odd, "k").orderBy("v").collect()] == [3, 4, 5]
+    zeros = spark.createDataFrame([(0.0, 1), (-0.0, 2), (float("nan"), 3), (float("nan"), 4), (1.0, 5)], "k double, v int")
+    assert [r.v for r in K.single_rows(zeros, "k").collect()] == [5]

@@ -7,9 +7,9 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
-from secondlook.models import discriminant, elasticnet, evaluate, glm
+from secondlook.models import discriminant, elasticnet, evaluate, glm, merging
 from secondlook.operators import eda
-from secondlook.operators.sampling import assign_folds
+from secondlook.operators.sampling import assign_folds, fold_parts
 from secondlook.plans import studies
 
 
@@ -139,12 +139,108 @@ def test_lda_and_qda_match_numpy(spark):
     assert got == np.stack(quadratic).argmax(axis=0).tolist()
 
 
-def test_moments_in_several_passes(spark, monkeypatch):
-    rows = model_rows(spark)
-    one = discriminant.class_moments(rows, "y", ["x", "z"])
-    monkeypatch.setattr(discriminant, "AGGREGATES_PER_PASS", 1)
-    many = discriminant.class_moments(rows, "y", ["x", "z"])
-    assert [m.cov.tolist() for m in one] == [m.cov.tolist() for m in many]
+def test_moments_of_many_features(spark, monkeypatch):
+    """Against numpy, far from 0, with a class of one row, missing values, and merging in two levels."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(1e6, 1, (500, 20)) @ np.diag(np.arange(1, 21))
+    y = np.where(np.arange(500) == 7, "c", np.where(rng.random(500) < 0.3, "a", "b"))
+    names = [f"f{i}" for i in range(20)]
+    rows = spark.createDataFrame([(str(c), *map(float, r)) for c, r in zip(y, x)] + [("a", None, *[0.0] * 19), (None, *[0.0] * 20)],
+                                 ", ".join(["y string", *[f"{f} double" for f in names]]))
+    for direct in (64, 3):
+        monkeypatch.setattr(merging, "DIRECT", direct)
+        found = discriminant.class_moments(rows.repartition(9), "y", names)
+        assert [(m.label, m.n) for m in found] == [(c, int((y == c).sum())) for c in "abc"]
+        for m in found:
+            assert m.mean == pytest.approx(x[y == m.label].mean(axis=0), rel=1e-12)
+        for m in found[:2]:
+            assert np.abs(m.cov - np.cov(x[y == m.label].T)).max() < 1e-6 * np.abs(m.cov).max()
+        assert np.isnan(found[2].cov).all()
+    assert discriminant.class_moments(rows.limit(0), "y", names) == []
+
+
+def test_wide_quadratic_classes_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 3, 400)
+    x = rng.normal(size=(400, 16)) * (1 + y[:, None]) + y[:, None] * 0.3
+    names = [f"f{i}" for i in range(16)]
+    rows = spark.createDataFrame([(i, int(c), *map(float, r)) for i, (c, r) in enumerate(zip(y, x))] + [(400, 0, None, *[0.0] * 15)],
+                                 ", ".join(["id int", "y int", *[f"{f} double" for f in names]]))
+    fit = discriminant.fit_qda(rows, "y", names)
+    assert len(names) * (len(names) + 1) // 2 * 3 < discriminant.PRODUCTS_IN_COLUMN  # as an expression
+    plain = [r.predicted for r in fit.classify(rows).orderBy("id").collect()]
+    keep, discriminant.PRODUCTS_IN_COLUMN = discriminant.PRODUCTS_IN_COLUMN, 0
+    try:
+        wide = [r.predicted for r in fit.classify(rows).orderBy("id").collect()]
+    finally:
+        discriminant.PRODUCTS_IN_COLUMN = keep
+    assert plain == wide and plain[-1] is None and set(plain[:-1]) == {0, 1, 2}
+
+
+def test_batched_fits_equal_spark_ml(spark):
+    """Folds either way round, a level that a training part lacks, missing values, a constant column and nested terms."""
+    rows = model_rows(spark).withColumns({"g": F.when(F.col("row_id") == 5, "z").otherwise(F.col("g")), "one": F.lit(3.0),
+                                          "z": F.when(F.col("row_id") % 50 != 0, F.col("z"))})
+    folded = assign_folds(rows, "row_id", 4, 2).cache()
+    for train_on in ("fold", "rest"):
+        got = glm.fold_predictions(folded, "y ~ x + z + g + one", "y", 4, train_on).collect()
+        for k in range(1, 5):
+            train, rest = fold_parts(folded.drop("row_id"), k, train_on)
+            model = glm.fit_glm(train, "y ~ x + z + g")
+            levels = [r.g for r in train.dropna().select("g").distinct().collect()]
+            want = sorted(r.probability for r in glm.predict(model, rest.dropna().where(F.col("g").isin(levels))).collect())
+            assert sorted(r.probability for r in got if r.fold == k) == pytest.approx(want, abs=1e-6)
+    steps = glm.analysis_of_deviance(rows.drop("row_id"), "y", ["x", "one", "g"]).collect()
+    assert [r.df for r in steps] == [None, 1, 0, 3] and steps[2].deviance == pytest.approx(0, abs=1e-6) and steps[2].p_value == 1
+    for k, terms in ((1, "x"), (3, "x + g")):
+        summary = glm.fit_glm(rows, f"y ~ {terms}").stages[-1].summary
+        assert steps[k].resid_dev == pytest.approx(summary.deviance, abs=1e-5) and steps[k].resid_df == summary.residualDegreeOfFreedom
+
+
+def test_few_reads_whatever_the_folds(spark, monkeypatch):
+    folded = assign_folds(model_rows(spark), "row_id", 10, 2)
+    reads = []
+    plain = merging.merged
+    monkeypatch.setattr(merging, "merged", lambda *a, **k: reads.append(1) or plain(*a, **k))
+    assert glm.fold_predictions(folded, "y ~ x + z + g", "y", 10, "rest").count() == 300
+    assert len(reads) < 15  # of the encoded table, with the scores
+
+
+def test_parted_classes_are_reported(spark):
+    rows = spark.createDataFrame([(i, int(i >= 20), float(i)) for i in range(40)], "row_id int, y int, x double")
+    with pytest.warns(RuntimeWarning, match="did not settle"):
+        steps = glm.analysis_of_deviance(rows, "y", ["x"]).collect()
+    assert steps[1].resid_dev == pytest.approx(0, abs=1e-3)
+    empty = glm.fold_predictions(assign_folds(rows.limit(0), "row_id", 3), "y ~ x", "y", 3)
+    assert empty.count() == 0
+
+
+def test_missing_predictors_by_rule(spark):
+    rows = model_rows(spark).withColumns({"x": F.when(F.col("row_id") % 10 != 0, F.col("x")), "g": F.when(F.col("row_id") % 7 != 0, F.col("g"))})
+    with pytest.raises(ValueError, match="missing values in x, g"):
+        glm.fit_table(rows, "y", ["x", "z", "g"], "error")
+    with pytest.raises(ValueError):
+        glm.fit_table(rows, "y", ["x"], "keep")
+    model = glm.fit_glm(rows, "y ~ x + z + g")
+    want = {r.term: r for r in glm.coefficient_table(model, rows.dropna()).collect()}
+    for r in glm.fit_table(rows, "y", ["x", "z", "g"], "skip").collect():
+        w = want[r.term]
+        assert (r.estimate, r.std_error, r.z_value, r.p_value) == pytest.approx((w.estimate, w.std_error, w.z_value, w.p_value), abs=1e-5)
+    # passed on: as Spark ML fits with hand-made indicators
+    made = rows.withColumns({"x_missing": F.col("x").isNull().cast("double"), "x": F.coalesce("x", F.lit(0.0)),
+                             "g": F.coalesce("g", F.lit("a0"))})  # sorts behind "a", the base level
+    want = {r.term.replace("g_a0", "g_missing"): r.estimate for r in glm.coefficient_table(glm.fit_glm(made, "y ~ x + x_missing + z + g"), made).collect()}
+    got = {r.term: r.estimate for r in glm.fit_table(rows, "y", ["x", "z", "g"], "pass").collect()}
+    assert got == pytest.approx(want, abs=1e-5)
+    assert len(glm.fit_table(rows.dropna(), "y", ["x", "z", "g"], "pass").collect()) == 5  # no indicator without need
+    folded = assign_folds(rows, "row_id", 3)
+    assert glm.fold_predictions(folded, "y ~ x + g", "y", 3, "rest", missing="pass").count() == 300
+    assert glm.fold_predictions(folded, "y ~ x + g", "y", 3, "rest").count() == rows.select("x", "g").dropna().count()
+    with pytest.raises(ValueError):
+        glm.fold_predictions(folded, "y ~ x + g", "y", 3, missing="error")
+    swapped = {r.measure: r.mean for r in glm.cross_validate(folded, "y ~ z", "y", 3, event=0).collect()}
+    plain = {r.measure: r.mean for r in glm.cross_validate(folded, "y ~ z", "y", 3).collect()}
+    assert swapped["sensitivity"] == plain["specificity"] and swapped["specificity"] == plain["sensitivity"]
 
 
 def test_qda_reports_rank_deficiency(spark):
@@ -233,3 +329,35 @@ def test_bins_are_dense(spark):
     bins = eda.frequency_by_bins(df, "x", "g").collect()
     assert len(bins) == 60 and sum(r.n for r in bins) == 3
     assert {(r.g, r.bin) for r in bins if r.n} == {("a", 1), ("a", 30), ("b", 15)}
+
+
+def test_scores_may_be_infinite_or_nan(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(0.1, 0), (0.5, 1), (inf, 1), (inf, 0), (-inf, 0), (-inf, 1), (nan, 1), (nan, 0), (None, 1), (0.3, None)] * 3
+    df = spark.createDataFrame(rows, "score double, label int")
+    key = lambda s: (s != s, 0 if s != s else s)
+    ones = [key(s) for s, y in rows if y == 1 and s is not None]
+    zeros = [key(s) for s, y in rows if y == 0]
+    want = sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / len(ones) / len(zeros)
+    assert evaluate.auc(df, "score", "label").first().auc == pytest.approx(want)
+    curve = evaluate.roc_points(df, "score", "label").orderBy("cum_tp", "cum_fp").collect()
+    assert [(r.cum_tp, r.cum_fp) for r in curve] == [(0, 0), (3, 3), (6, 6), (9, 6), (9, 9), (12, 12)]
+    assert curve[1].score != curve[1].score and curve[2].score == inf and curve[-1].score == -inf
+
+
+def test_wide_ranges_fill_without_arrays(spark):
+    """Bins 1 to 3e9: gaps are rows that tasks make; classes at either end; a class named NULL; the input is read once."""
+    from collections import Counter
+    rows = [(1.0, "a"), (7.0, "a"), (7.0, "a"), (3.0, "b"), (12.0, None)]
+    df = spark.createDataFrame(rows, "x double, g string")
+    counted = Counter((g, x) for x, g in rows)
+    got = eda.frequency_by_width(df, "x", "g", 1.0).collect()
+    assert sorted(((r.g, r.x, r.n) for r in got), key=repr) == sorted(
+        ((g, float(x), counted[g, x]) for g in ("a", "b", None) for x in range(1, 13)), key=repr)
+    wide = spark.createDataFrame([(1.0, "a"), (3e7, "a"), (5.0, "b")], "x double, g string")
+    both = eda.frequency_by_width(wide, "x", "g", 1.0).groupBy("g").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).orderBy("g").collect()
+    assert [tuple(r) for r in both] == [("a", 30_000_000, 2), ("b", 30_000_000, 1)]
+    vast = eda.frequency_by_width(spark.createDataFrame([(1.0, "a"), (3e9, "a")], "x double, g string"), "x", "g", 1.0)
+    assert vast.columns == ["g", "x", "n"] and len(vast.limit(5).collect()) == 5
+    assert eda.frequency_by_width(df.limit(0), "x", "g", 1.0).count() == 0
+    assert eda.frequency_by_bins(df, "x", "g", 4).count() == 12

@@ -12,7 +12,8 @@ from secondlook.workload import ORACLES, QUERIES
 
 
 # Studies with folds or held-out rows: the smallest tables are too thin for both classes in each part.
-WIDER = {n: "/root/testdata/sf0.01" for n in ("q7_classifier_study", "q8_fold_auc", "q8_last_fold_deviance")}
+WIDER = {n: "/root/testdata/sf0.01" for n in (
+    "q6_glm_study", "q7_classifier_study", "q8_fold_auc", "q8_fold_roc_sink", "q8_last_fold_deviance", "q10_scaled_glm_study", "ml17_out_of_fold_roc")}
 
 
 def duck(sf):

@@ -35,3 +35,50 @@ def test_stage_and_sink(spark, tmp_path):
 
 def test_stage_folder_comes_from_the_session(spark):
     assert stage_path(spark, "a").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_lines_with_other_fields_are_set_aside(spark, tmp_path):
+    """Short and long lines leave the result whole and are kept with their text; a quoted tab is no field's end."""
+    path = tmp_path / "x.txt"
+    path.write_text('A\tB\tC\n1\t2\t3\n1\t2\nNA\t"a\tb"\t\n1\t2\t3\t4\n\t\t\n  lonely  \n')
+    names = ["A", "B", "C"]
+    assert sorted((tuple(r) for r in IO.read_text_extract(spark, str(path), names).collect()), key=repr) == sorted(
+        [("1", "2", "3"), (None, "a\tb", None)], key=repr)  # a line of tabs alone is a blank one
+    assert IO.read_text_extract(spark, str(path), names).select("C").where("C IS NOT NULL").count() == 1
+    bad = IO.bad_lines(spark, str(path), names)
+    assert sorted(r.line.strip() for r in bad.collect()) == ["1\t2", "1\t2\t3\t4", "lonely"]
+    assert {r.file for r in bad.collect()} == {"x.txt"} and bad.count() == 3
+    (tmp_path / "y.txt").write_text("A\tB\tC\n1\t2\t3\n")
+    assert IO.bad_lines(spark, str(tmp_path / "y.txt"), names).count() == 0
+    with pytest.raises(Exception):
+        IO.read_text_extract(spark, str(path), ["B", "A", "C"]).collect()
+
+
+def test_runs_are_published_whole(spark, tmp_path):
+    runs = IO.PublishedRuns(spark, str(tmp_path / "runs"))
+    a, b = spark.range(10), spark.range(3).selectExpr("id", "'x' AS name")
+    assert runs.published() == []
+
+    def broken():
+        yield "a", a
+        yield "b", spark.range(5).selectExpr("raise_error('no')")
+
+    class Tables(dict):
+        def items(self):
+            return broken()
+
+    with pytest.raises(Exception):
+        runs.publish("r1", Tables())
+    assert runs.published() == [] and (tmp_path / "runs/runs/r1/a").exists()  # written, not seen
+    with pytest.raises(KeyError):
+        runs.read("r1", "a")
+    assert runs.publish("r1", {"a": b, "b": a})  # what broke off is started anew
+    assert runs.read("r1", "a").columns == ["id", "name"] and runs.read("r1", "b").count() == 10
+    assert not runs.publish("r1", {"a": a}) and runs.read("r1", "a").count() == 3  # repeated without effect
+    assert runs.publish("r2", {"a": a, "none": a.limit(0)}) and runs.published() == ["r1", "r2"]
+    assert {(r.table, r.rows) for r in runs.manifest("r2").collect()} == {("a", 10), ("none", 0)}
+    assert runs.read("r2", "none").count() == 0
+    with pytest.raises(KeyError):
+        runs.read("r2", "other")
+    with pytest.raises(ValueError):
+        runs.publish("a/b", {})
