@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from secondlook.operators.joins import salted_join
-from secondlook.operators.neighbours import nearest
+from secondlook.operators.neighbours import nearest_by_id
 
 
 def _vector(features: list[str]):
@@ -22,17 +22,24 @@ def votes(train: DataFrame, test: DataFrame, features: list[str], label: str, ks
     Euclidean, unscaled. All rows tied at the k-th distance vote; equal votes go to
     the label that sorts first.
     """
+    best, asked = _votes_by_id(train, test, features, label, ks, **options)
+    return best.join(asked, "qid").select("vec", "k", "predicted")
+
+
+def _votes_by_id(train: DataFrame, test: DataFrame, features: list[str], label: str, ks: Sequence[int],
+                 **options) -> tuple[DataFrame, DataFrame]:
     known = train.select(_vector(features).alias("vec"), F.col(label).alias("__label"))
     asked = test.select(_vector(features).alias("vec"))
-    near = nearest(asked, known, max(ks), tag="__label", **options)
+    near, asked = nearest_by_id(asked, known, max(ks), tag="__label", **options)
     # A distance level that starts after `before` rows counts for every larger k.
     per_k = (near.withColumn("k", F.explode(
                  F.filter(F.array(*[F.lit(int(k)) for k in ks]), lambda k: k > F.col("before"))))
-             .groupBy("vec", "k", "tag").agg(F.sum("w").alias("n")))
-    best = Window.partitionBy("vec", "k").orderBy(F.desc("n"), "__label")
-    return (per_k.withColumn("__label", F.col("tag").cast(train.schema[label].dataType))
-            .withColumn("__rn", F.row_number().over(best)).filter("__rn = 1")
-            .select("vec", "k", F.col("__label").alias("predicted")))
+             .groupBy("qid", "k", "tag").agg(F.sum("w").alias("n")))
+    best = Window.partitionBy("qid", "k").orderBy(F.desc("n"), "__label")
+    ranked = (per_k.withColumn("__label", F.col("tag").cast(train.schema[label].dataType))
+              .withColumn("__rn", F.row_number().over(best)).filter("__rn = 1")
+              .select("qid", "k", F.col("__label").alias("predicted")))
+    return ranked, asked
 
 
 def classify(train: DataFrame, test: DataFrame, features: list[str], label: str, k: int,
@@ -49,10 +56,10 @@ def accuracy_by_k(train: DataFrame, test: DataFrame, features: list[str], label:
     Test rows are counted per vector and label first, so copies cost one row. A row
     without a prediction, because a feature is missing, counts as wrong.
     """
-    best = votes(train, test, features, label, range(1, max_k + 1), **options)
+    best, asked = _votes_by_id(train, test, features, label, range(1, max_k + 1), **options)
     tested = (test.groupBy(_vector(features).alias("vec"), F.col(label).alias("__actual"))
-              .agg(F.count("*").alias("__n")))
+              .agg(F.count("*").alias("__n")).join(asked, "vec").drop("vec"))
     hit = F.when(F.col("__actual") == F.col("predicted"), F.col("__n")).otherwise(0)
     total = test.count()
-    return (tested.join(best, "vec").groupBy("k")
+    return (tested.join(best, "qid").groupBy("k")
             .agg((F.sum(hit) / F.lit(total)).alias("accuracy")))
