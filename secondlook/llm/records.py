@@ -18,16 +18,18 @@ order and fetch them with one seek each.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from secondlook.llm.bpe import Pieces
 from secondlook.llm.common import PieceCache, binary_array, map_arrow, no_text, small_batches, texts_of, worker_memory
 from secondlook.llm.pretokenise import boundaries
 
@@ -62,22 +64,62 @@ def read_frame(raw: bytes, offset: int) -> tuple[int | None, np.ndarray, int]:
     return (None if doc_id == MISSING_ID else doc_id), ids, at + size + struct.calcsize(TAIL) + 1
 
 
-class Library(PieceCache):
-    """piece -> packed ids by the tokenizers library; pieces are what its own pre-tokenizer finds."""
+def read_head(raw: bytes, offset: int) -> tuple[int | None, int, int]:
+    """doc_id, number of ids and the offset of the next frame, the length checked alone."""
+    size, check = struct.unpack_from(HEAD, raw, offset)
+    if masked(raw[offset:offset + 8]) != check:
+        raise ValueError(f"damaged length at byte {offset}")
+    at = offset + struct.calcsize(HEAD)
+    doc_id, count, _ = struct.unpack_from(PAYLOAD, raw, at)
+    return (None if doc_id == MISSING_ID else doc_id), count, at + size + struct.calcsize(TAIL) + 1
+
+
+class Library(Pieces):
+    """piece -> packed ids as the tokenizers library gives them; pieces are what its own pre-tokenizer finds.
+
+    New short pieces are merged together, in arrays. A pair of tokens joins by the rank of its merge, which is not the id
+    of what it makes: both go into one number, the rank above the id, so that the smallest is the pair to
+    join. Long pieces go to the library's own model.
+    """
+
+    ID_BITS = 20
 
     def __init__(self, definition: str):
-        super().__init__()
+        PieceCache.__init__(self)
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}  # fixed values: bytes that stand for themselves
         hidden = [b for b in range(256) if b not in shown]
         self.signs = {b: chr(256 + i) for i, b in enumerate(hidden)}  # the library writes the others from U+0100 on
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        model = json.loads(definition)["model"]
+        vocabulary, plain = model["vocab"], not any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+        signs = [self.signs.get(b, chr(b)) for b in range(256)]
+        # anything but plain merges over all bytes is left to the library
+        self.in_arrays = plain and len(vocabulary) < 1 << self.ID_BITS and all(c in vocabulary for c in signs)
+        if self.in_arrays:
+            self.of_byte = np.array([vocabulary[c] for c in signs])
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            pairs = sorted((vocabulary[l] << 32 | vocabulary[r], rank << self.ID_BITS | vocabulary[l + r]) for rank, (l, r) in enumerate(merges))
+            self.pairs, self.joined = np.array([k for k, _ in pairs]), np.array([v for _, v in pairs])
+
+    def joint(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return super().joint(left & (1 << self.ID_BITS) - 1, right & (1 << self.ID_BITS) - 1)
 
     def learn(self, pieces: list[str]) -> list[bytes]:
+        raws = [p.encode() for p in pieces]
+        short = [k for k, raw in enumerate(raws) if self.in_arrays and raw and len(raw) <= self.longest]
+        out = [b""] * len(raws)
+        made = self.merge_many([raws[k] for k in short])
+        ids = np.frombuffer(b"".join(made), "<u4") & np.uint32((1 << self.ID_BITS) - 1)
+        packed, ends = ids.tobytes(), np.cumsum([len(x) for x in made]).tolist()
+        for k, a, b in zip(short, [0, *ends[:-1]], ends):
+            out[k] = packed[a:b]
         tokenize, signs = self.tokenizer.model.tokenize, self.signs
-        return [b"".join(t.id.to_bytes(4, "little") for t in tokenize(p.encode().decode("latin-1").translate(signs)))
-                for p in pieces]
+        for k, raw in enumerate(raws):
+            if not out[k]:
+                out[k] = b"".join(t.id.to_bytes(4, "little") for t in tokenize(raw.decode("latin-1").translate(signs)))
+        return out
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -108,26 +150,32 @@ def write(df: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id", te
     A missing or empty text is a record of the end id alone. Rows with equal ids stand by the hash of
     their text; repeated rows are repeated records. Other columns are ignored.
     """
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), no_text(text).alias("text"))
-    order = [F.col("doc_id"), F.xxhash64("text")]
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), no_text(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id"), F.xxhash64("text"), F.col("row")]  # the last one parts equal rows, of which there may be many
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    frames = encode_and_frame(sorted_rows, tokenizer, end_id)
+    frames = encode_and_frame(sorted_rows.drop("row"), tokenizer, end_id)
     # a cast keeps the bytes as they are; the text writer adds nothing but the line feed
     frames.select(F.col("frame").cast("string").alias("value")).write.text(f"{folder}/records", lineSep="\n")
-    found = scan(df.sparkSession, folder).select("file", "offset", "length", "doc_id", "n_tokens", "local_start")
+    found = scan(df.sparkSession, folder, payload=False).drop("ids")
     found.write.parquet(f"{folder}/unplaced")
     found = df.sparkSession.read.parquet(f"{folder}/unplaced")
-    totals = found.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # a row per file; names ascend with ids
-    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    totals = found.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # a row per file; part numbers ascend with ids
+    before = F.sum("n").over(Window.orderBy(*file_order("file")).rowsBetween(Window.unboundedPreceding, -1))
     base = totals.select("file", F.coalesce(before, F.lit(0)).alias("base"))
     (found.join(base, "file").select("file", "offset", "length", "doc_id", "n_tokens",
                                      (F.col("base") + F.col("local_start")).alias("start"))
      .write.parquet(f"{folder}/index"))
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
+def file_order(file: str) -> list[Column]:
+    """Files in the order of their rows: by part number and, within a part, by piece. Names alone don't sort so from part 100000 on."""
+    return [F.regexp_extract(file, r"part-(\d+)", 1).cast("long"), F.regexp_extract(file, r"-c(\d+)", 1).cast("long"), F.col(file)]
+
+
+def scan(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
     """Every record of ``folder/records``, checksums verified: file, offset, length, doc_id, n_tokens,
-    local_start (ids before it in its file) and ids (packed unsigned 32-bit)."""
+    local_start (ids before it in its file) and ids (packed unsigned 32-bit). Without ``payload`` only the frames' heads are
+    read and ids are missing."""
     small_batches(spark)
     files = spark.read.format("binaryFile").load(f"{folder}/records").select(
         F.element_at(F.split("path", "/"), -1).alias("file"), "content")
@@ -137,9 +185,14 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 offset, start, rows = 0, 0, []
                 while offset < len(raw):
-                    doc_id, ids, after = read_frame(raw, offset)
-                    rows.append((name, offset, after - offset, doc_id, ids.size, start, ids.astype("<u4").tobytes()))
-                    offset, start = after, start + ids.size
+                    if payload:
+                        doc_id, ids, after = read_frame(raw, offset)
+                        count, packed = ids.size, ids.astype("<u4").tobytes()
+                    else:
+                        doc_id, count, after = read_head(raw, offset)
+                        packed = None
+                    rows.append((name, offset, after - offset, doc_id, count, start, packed))
+                    offset, start = after, start + count
                     if len(rows) == 2_000 or offset >= len(raw):
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
                         rows = []

@@ -104,3 +104,43 @@ def test_shuffled_read_by_index(spark, sf):
         file.seek(row.offset)
         raw = file.read(row.length)
     assert raw.endswith(b"\n") and records.read_frame(raw, 0)[0] == 17
+
+
+def test_new_pieces_in_arrays_equal_the_library():
+    import public_tokenizers
+    import random
+    library = records.Library(open(JSON, encoding="utf-8").read())
+    assert library.in_arrays
+    rng = random.Random(7)
+    letters = "aeiounrst ßé漢\U0001F600\x00\n0123.'\"" + "THEing"
+    pieces = ["".join(rng.choices(letters, k=rng.randint(1, 70))) for _ in range(3_000)] + ["a" * 64, "a" * 65, "é" * 32, " the", "\n"]
+    own = library.tokenizer.model
+    for p, packed in zip(pieces, library.learn(pieces)):
+        signs = p.encode().decode("latin-1").translate(library.signs)
+        assert np.frombuffer(packed, "<u4").tolist() == [t.id for t in own.tokenize(signs)]
+    assert library.learn([]) == []
+
+
+def test_files_stand_by_their_numbers(spark, sf):
+    names = [f"part-{n}-abc-c{c:03d}.txt" for n in ("00002", "99999", "100000", "100001") for c in (0, 1)]
+    df = spark.createDataFrame([(n,) for n in reversed(names)], "file string")
+    assert [r.file for r in df.orderBy(*records.file_order("file")).collect()] == names
+    folder = stage_path(spark, "records-heads")
+    records.write(spark.read.parquet(f"{sf}/documents.parquet").limit(50), JSON, folder)
+    key = ["file", "offset", "length", "doc_id", "n_tokens", "local_start"]
+    heads, whole = (sorted(tuple(r) for r in records.scan(spark, folder, payload).select(*key).collect()) for payload in (False, True))
+    assert heads == whole and len(heads) == 50
+
+
+def test_equal_rows_are_parted(spark):
+    """One row many times goes to several tasks and comes back as many times."""
+    df = spark.range(4_000).selectExpr("7 AS doc_id", "'the same text' AS text").repartition(6)
+    folder = stage_path(spark, "records-equal")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else few rows are one part
+    try:
+        records.write(df, JSON, folder)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = records.read(spark, folder).collect()
+    assert len(got) == 4_000 and len({r.start for r in got}) == 4_000 and {r.doc_id for r in got} == {7}
+    assert spark.read.parquet(f"{folder}/index").select("file").distinct().count() > 1
