@@ -177,7 +177,7 @@ def repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str =
 
     # Copies of a text follow from its first document: only that one is searched.
     first = heads.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("id").alias("id"))
-    first = first.join(heads.select("sha", "id", "place").distinct(), ["sha", "id"])
+    first = first.join(heads.groupBy("sha", "id").agg(F.min("place").alias("place")), ["sha", "id"])  # one raw text of several with these words
     texts = docs.select(F.pmod("place", F.lit(chunks)).alias("chunk"), "id", "text")
     notes = first.select(F.pmod("place", F.lit(chunks)).alias("chunk"), "id", "sha", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("firsts"))
 

@@ -50,3 +50,11 @@ def test_random_and_odd_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS sha", "3 AS chunk", "4 AS place")
     assert result(df) == brute(rows)
     assert substring.repeats(df.limit(0)).count() == 0
+
+
+def test_one_row_for_each_row_of_repeated_ids(spark):
+    """One id with the same words under other white space: as many rows come out as went in."""
+    a = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, a), (1, a.replace(" ", "\n", 1)), (1, a + " "), (1, a), (2, "x " + a), (2, a), (None, a), (None, " " + a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(df) == brute(rows)
