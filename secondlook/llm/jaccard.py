@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 
 from secondlook.llm.common import (binary_array, blobs_by_bucket, map_arrow, no_text, shuffle_partitions, stage, texts_of, unsigned_hash,
                                    word_hashes)
-from secondlook.llm.graph import components
+from secondlook.llm.graph import components, contract
 
 WORDS, PERCENT = 5, 80
 MU = 0.01  # cost of probing a long list against merging it, as in the paper's rule for how many lists to put aside
+LEAST_BUCKETS = 48  # tasks that compare bucket keys; more only with the corpus, as a document of a large group has a link from each
 GROUP_SHINGLES = 4 << 20  # shingles that one task holds; a larger candidate group is split into blocks
 PROBE = 20_000  # entries of lists that are counted in about the time of probing one candidate
 RECENT = 4  # classes that a document is held against directly; the search that follows covers all others
@@ -97,6 +98,14 @@ def star(keys: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[new], documents[new], links[0], links[1]
 
 
+def _contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One link for each document that hangs together with a smaller one: to the smallest."""
+    if not a.size:
+        return a.astype(np.int64), b.astype(np.int64)
+    node, label = contract(a, b)
+    return node[node != label], label[node != label]
+
+
 def links_in_group(sets: list[np.ndarray], percent: int) -> list[int]:
     """The smallest place linked with each set through any chain; places are those in ``sets``."""
     root = np.arange(len(sets))
@@ -186,19 +195,24 @@ def classes(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: s
     words, missing or empty, has no shingles and stays alone. Rows with one id and different texts are documents
     of their own that share the id. A missing id links with nothing and has no component. Other columns are ignored.
     """
+    return _classes(df, words, percent, doc_id, text).select("doc_id", "n_shingles", "component_id")
+
+
+def _classes(df: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """``classes`` with place, the hash of each row's text, and class, a number of its own for each class (none without words)."""
     spark = df.sparkSession
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), no_text(text).alias("text"))
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), no_text(text).alias("text"), F.xxhash64(text).alias("place"))
 
     def head(batch: pa.RecordBatch) -> dict:
         sets = [shingle_set(raw, words) for raw in texts_of(batch.column(1))]
         known = [i is not None for i in batch.column(0).to_pylist()]
-        return {"doc_id": batch.column(0), "n_shingles": pa.array([s.size for s in sets], pa.int64()),
+        return {"doc_id": batch.column(0), "place": batch.column(2), "n_shingles": pa.array([s.size for s in sets], pa.int64()),
                 "digest": binary_array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.size and k else None for s, k in zip(sets, known)]),
                 "keys": binary_array([bucket_keys(s, percent).tobytes() if k else b"" for s, k in zip(sets, known)])}
 
-    heads = stage(map_arrow(docs, head, "doc_id long, n_shingles long, digest binary, keys binary"), "sets")
+    heads = stage(map_arrow(docs, head, "doc_id long, place long, n_shingles long, digest binary, keys binary"), "sets")
     total = heads.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(2 * shuffle_partitions(spark), total // (4 << 20))
+    buckets = max(LEAST_BUCKETS, total // (4 << 20))
 
     def deal(batch: pa.RecordBatch) -> dict | None:
         digests, ids, packed = (batch.column(c).to_pylist() for c in ("digest", "doc_id", "keys"))
@@ -215,7 +229,7 @@ def classes(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: s
         owner = np.repeat(np.array([i for i, _ in least.values()]), [len(k) // 8 for _, k in least.values()])
         keys, centre, a, b = star(keys, owner)
         bucket, (k, c) = blobs_by_bucket(keys, buckets, centre)
-        a, b = (np.concatenate([x, np.array([p[j] for p in links], np.int64)]) for j, x in enumerate((a, b)))
+        a, b = _contracted(*(np.concatenate([x, np.array([p[j] for p in links], np.int64)]) for j, x in enumerate((a, b))))
         return {"bucket": pa.array([*bucket, int(keys[0] % np.uint64(buckets))], pa.int64()), "final": pa.array([False] * len(bucket) + [True]),
                 "keys": binary_array([*k, a.astype(np.int64).tobytes()]), "documents": binary_array([*c, b.astype(np.int64).tobytes()])}
 
@@ -224,7 +238,8 @@ def classes(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: s
         rows = list(zip(done, group.column("keys").to_pylist(), group.column("documents").to_pylist()))
         of = lambda k, final, kind: np.frombuffer(b"".join(r[k] for r in rows if r[0] == final), kind)
         _, _, a, b = star(of(1, False, np.uint64), of(2, False, np.int64))
-        return pa.table({"a": pa.array(np.concatenate([a, of(1, True, np.int64)])), "b": pa.array(np.concatenate([b, of(2, True, np.int64)]))})
+        a, b = _contracted(np.concatenate([a, of(1, True, np.int64)]), np.concatenate([b, of(2, True, np.int64)]))
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     dealt = map_arrow(heads.select("doc_id", "digest", "keys"), deal, "bucket long, final boolean, keys binary, documents binary")
     groups = components(dealt.groupBy("bucket").applyInArrow(join, "a long, b long"))
@@ -241,26 +256,26 @@ def classes(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: s
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     large = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.concat_ws("-", F.lit("l"), "label", F.least(k, F.col("block")), F.greatest(k, F.col("block"))))
     members = (members.join(weights.select("label", blocks.alias("blocks")), "label").withColumn("block", block)
-               .select("doc_id", "digest", "label", F.when(F.col("blocks") <= 1, small).otherwise(large).alias("tasks")))
+               .select("doc_id", "digest", F.xxhash64("digest").alias("node"), "label", F.when(F.col("blocks") <= 1, small).otherwise(large).alias("tasks")))
 
     def sets_of(batch: pa.RecordBatch) -> dict | None:
         rows = []
-        for i, raw, g, label, where in zip(*(c.to_pylist() for c in batch.columns)):
+        for raw, g, node, label, where in zip(*(c.to_pylist() for c in batch.columns)):
             own = shingle_set(raw.encode(), words)
             if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == g:  # not another text with this id
-                rows.append((i, label, where, own.tobytes()))
+                rows.append((node, label, where, own.tobytes()))
         if not rows:
             return None
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.binary()]
-        return {n: pa.array(list(c), k) for n, c, k in zip(("doc_id", "label", "tasks", "shingles"), zip(*rows), kinds)}
+        return {n: pa.array(list(c), k) for n, c, k in zip(("node", "label", "tasks", "shingles"), zip(*rows), kinds)}
 
-    carried = map_arrow(docs.join(members, "doc_id").select("doc_id", "text", "digest", "label", "tasks"), sets_of,
-                        "doc_id long, label long, tasks array<string>, shingles binary")
+    carried = map_arrow(docs.join(members, "doc_id").select("text", "digest", "node", "label", "tasks"), sets_of,
+                        "node long, label long, tasks array<string>, shingles binary")
 
     def compare(group: pa.Table) -> pa.Table:
         whole = group.column("task")[0].as_py().startswith("s")
         by_label: dict[int, list] = {}
-        for i, label, s in zip(*(group.column(c).to_pylist() for c in ("doc_id", "label", "shingles"))):
+        for i, label, s in zip(*(group.column(c).to_pylist() for c in ("node", "label", "shingles"))):
             by_label.setdefault(label, []).append((i, s))
         found = []
         for own in by_label.values():
@@ -270,19 +285,39 @@ def classes(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: s
         return pa.table({"whole": pa.array([whole] * len(found), pa.bool_()),
                          "a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    exploded = carried.select("doc_id", "label", "shingles", F.explode("tasks").alias("task"))
+    exploded = carried.select("node", "label", "shingles", F.explode("tasks").alias("task"))
     links = stage(exploded.groupBy("task").applyInArrow(compare, "whole boolean, a long, b long"), "links")
     # A group that one task saw whole is done; what several saw of a split group is put together.
-    found = links.where("whole").select(F.col("a").alias("standing"), F.col("b").alias("component"))
+    found = links.where("whole").select(F.col("a").alias("node"), F.col("b").alias("class"))
     if links.where("NOT whole").limit(1).count():
-        found = found.union(components(links.where("NOT whole")))
-    label = standing.join(found, "standing", "left").select("digest", F.coalesce("component", "standing").alias("component"))
+        found = found.union(components(links.where("NOT whole")).withColumnRenamed("label", "class"))
+    linked = standing.withColumn("node", F.xxhash64("digest")).join(found, "node", "left").select(
+        "digest", "standing", F.coalesce("class", "node").alias("class"))
+    # a class of one set, as most are, is named by its own document
+    several = found.union(found.select(F.col("class").alias("node"), "class")).distinct()
+    named = several.join(standing.select(F.xxhash64("digest").alias("node"), "standing"), "node").groupBy("class").agg(F.min("standing").alias("least"))
+    label = linked.join(named, "class", "left").select("digest", "class", F.least("least", "standing").alias("component"))
     alone = F.when(F.col("digest").isNull(), F.col("doc_id"))
-    return heads.select("doc_id", "n_shingles", "digest").join(label, "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", alone).alias("component_id"))
+    return heads.select("doc_id", "place", "n_shingles", "digest").join(label, "digest", "left").select(
+        "doc_id", "place", "n_shingles", "class", F.coalesce("component", alone).alias("component_id"))
 
 
 def one_of_each(df: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``df``, all columns unchanged, whose document has the smallest id of its class; rows without an id stay."""
-    leave = classes(df, words, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return df.join(leave, "doc_id", "left_anti").select(df.columns)
+    """One row of each class of near duplicates, all columns unchanged: that with the smallest id, of its texts the one with the
+    smallest hash. Which row goes is decided by id and text: another text under the same id is judged alone. Of rows with
+    equal id and text one stays, the least by all its columns as JSON. Rows without an id, or without words, all stay.
+    """
+    place = F.xxhash64("text")
+    found = stage(_classes(df, words, percent, "doc_id", "text").where("doc_id IS NOT NULL AND n_shingles > 0")
+                  .groupBy("doc_id", "place", "class").agg(F.count("*").alias("copies")), "classes")
+    kept = found.groupBy("class").agg(F.min(F.struct("doc_id", "place")).alias("first")).select("first.*")
+    gone = found.join(kept, ["doc_id", "place"], "left_anti").select("doc_id", "place")
+    marked = df.withColumn("__place", place)
+    here = [F.col("doc_id") == F.col("__id"), F.col("__place") == F.col("__text")]
+    out = marked.join(gone.select(F.col("doc_id").alias("__id"), F.col("place").alias("__text")), here, "left_anti")
+    again = found.where("copies > 1").join(kept, ["doc_id", "place"], "left_semi").select(F.col("doc_id").alias("__id"), F.col("place").alias("__text"))
+    if again.isEmpty():
+        return out.select(df.columns)
+    whole = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
+    repeated = out.join(again, here, "left_semi").groupBy("doc_id", "__place").agg(F.min_by(F.struct(*df.columns), whole).alias("row"))
+    return out.join(again, here, "left_anti").select(df.columns).union(repeated.select("row.*"))

@@ -108,7 +108,37 @@ def edit(a, b):
     return row[-1]
 
 
+def bigram_counts(names):
+    out = np.zeros((len(names), 512), np.int32)
+    for i, n in enumerate(names):
+        own = n.decode()
+        for x, y in zip(own, own[1:]):
+            out[i, (ord(x) * 31 + ord(y)) % 512] += 1
+    return out
+
+
+def near_pairs(names, similarity=0.8):
+    """All pairs of lines with that edit similarity. An edit changes at most four counts of bigrams, which rules most pairs out."""
+    counts, sizes, found = bigram_counts(names), np.array([len(n.decode()) for n in names]), []
+    for i in range(len(names) - 1):
+        room = np.maximum(sizes[i + 1:], sizes[i]) * (1 - similarity) + 1e-9
+        apart = np.abs(counts[i + 1:] - counts[i]).sum(axis=1)
+        for j in np.flatnonzero((np.abs(sizes[i + 1:] - sizes[i]) <= room) & (apart <= 4 * room)).tolist():
+            a, b = names[i].decode(), names[i + 1 + j].decode()
+            if fuzzylines.edit_distance(a, b) <= room[j]:
+                found.append((names[i], names[i + 1 + j]))
+    return found
+
+
+def test_edit_distance_equals_the_table():
+    rng = random.Random(1)
+    for _ in range(500):
+        a, b = ("".join(rng.choices("abcé漢", k=rng.randint(0, 30))) for _ in "xy")
+        assert fuzzylines.edit_distance(a, b) == edit(a, b)
+
+
 def brute_lines(rows, min_words=4):
+    """Lines taken out by edit similarity alone, over all pairs."""
     key = lambda d: fuzzylines.NO_ID if d is None else d
     lines = {}
     for d, t in rows:
@@ -117,14 +147,7 @@ def brute_lines(rows, min_words=4):
             if len(w) >= min_words:
                 lines.setdefault(b" ".join(w), set()).add(key(d))
     names = sorted(lines)
-    sims = fuzzylines.line_hashes([n.split() for n in names])[1]
-    links = []
-    for i in range(len(names)):
-        near = i + 1 + np.flatnonzero(np.bitwise_count(sims[i + 1:] ^ sims[i]) <= fuzzylines.BITS)
-        for j in near.tolist():
-            a, b = names[i].decode(), names[j].decode()
-            if edit(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
-                links.append((names[i], names[j]))
+    links = near_pairs(names)
     label = classes_of(links, names)
     first = {}
     for n in names:
@@ -171,6 +194,31 @@ def test_lines_equal_brute_force(spark):
 
 
 def test_lines_of_the_table_equal_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want, _ = brute_lines([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in fuzzylines.dedup(docs).collect()), key=repr) == want
+
+
+def test_one_row_of_each_class_stays(spark):
+    """Ids with several texts, repeated rows, missing ids and texts, clashing columns: a text that nothing repeats is never lost."""
+    rng = random.Random(3)
+    t, u, v = (" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(60)) for _ in range(3))
+    near = t + " more"
+    rows = [(1, t, "a"), (5, t, "b"), (5, u, "c"), (1, v, "d"), (7, near, "e"), (9, v + " end", "f"), (11, "same row here", "g"), (11, "same row here", "g"),
+            (11, "same row here", "h"), (None, t, "i"), (None, None, "j"), (12, None, "k"), (12, None, "k"), (13, "", "l"), (13, " \t", "l")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class string").selectExpr("doc_id", "text", "class", "1 AS place", "2 AS node", "3 AS copies")
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns
+    kept = sorted(((r.doc_id, r.text, r["class"]) for r in got.collect()), key=repr)
+    want = [(1, t, "a"), (5, u, "c"), (1, v, "d"), (11, "same row here", "g"), (None, t, "i"), (None, None, "j"), (12, None, "k"), (12, None, "k"),
+            (13, "", "l"), (13, " \t", "l")]
+    assert kept == sorted(want, key=repr)
+    assert jaccard.one_of_each(df.limit(0)).count() == 0
+
+
+def test_a_bucket_gives_one_link_for_each_document():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 300, 5_000), rng.integers(0, 300, 5_000)
+    node, label = jaccard._contracted(a, b)
+    assert node.size == np.unique(node).size < 300 and (label < node).all()
+    assert classes_of(list(zip(node.tolist(), label.tolist())), range(300)) == classes_of([(x, y) for x, y in zip(a.tolist(), b.tolist())], range(300))
