@@ -139,6 +139,28 @@ class Boundaries:
                 chunk.append([joined[a:b] for a, b in zip(own, [*own[1:], end])])
             yield chunk
 
+    def spans(self, texts: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Some texts at a time without making the pieces: the texts in a row, each closed by a NUL, as a string and as code points; the places at
+        which pieces begin and end; and the number of pieces up to the end of each text."""
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK):
+                size += len(texts[to])
+                to += 1
+            joined = "\0".join(texts[at:to]) + "\0"
+            points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+            ends = np.cumsum([len(t) + 1 for t in texts[at:to]]) - 1
+            at = to
+            symbol = self.symbols(points, ends)
+            state = self.states(self.of_symbol[symbol])
+            begin = np.flatnonzero(self.starts[state.astype(np.intp) * 9 + symbol])
+            upto = np.searchsorted(begin, ends)
+            stop = np.append(begin[1:], points.size)  # a text's last piece ends before its NUL
+            last = upto[np.diff(upto, prepend=0) > 0] - 1
+            stop[last] = ends[np.diff(upto, prepend=0) > 0]
+            yield joined, points, begin, stop, upto
+
 
 def boundaries() -> Boundaries:
     return worker_memory("boundaries", Boundaries)

@@ -18,10 +18,12 @@ order and fetch them with one seek each.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from secondlook.llm.bpe import Pieces
-from secondlook.llm.common import PieceCache, binary_array, map_arrow, no_text, small_batches, texts_of, worker_memory
+from secondlook.llm.common import PieceCache, binary_array, map_arrow, no_text, small_batches, texts_of, unsigned_hash, worker_memory
 from secondlook.llm.pretokenise import boundaries
 
 END_ID = 0
+LONG_PIECE = 256  # code points
 MASK_DELTA = 0xA282EAD8  # fixed value
 HEAD, PAYLOAD, TAIL = "<QI", "<qIB", "<I"
 MISSING_ID = -(2 ** 63)
@@ -74,6 +77,32 @@ def read_head(raw: bytes, offset: int) -> tuple[int | None, int, int]:
     return (None if doc_id == MISSING_ID else doc_id), count, at + size + struct.calcsize(TAIL) + 1
 
 
+@lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number modulo 2 ** 64, and those of its inverse."""
+    base, out = 0x9E3779B97F4A7C15, []
+    for factor in (base, pow(base, -1, 1 << 64)):
+        steps = np.full(n, factor, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def piece_hashes(points: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the code points from ``begin`` to ``stop`` of each piece: a polynomial of mixed code points, as the
+    difference of two sums from the start, shifted back to the piece. Long pieces, which a polynomial
+    might confuse, are hashed one by one."""
+    up, down = powers(1 << max(1, int(points.size)).bit_length())
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(unsigned_hash(points.astype(np.uint64)) * up[:points.size], dtype=np.uint64)])
+    length = stop - begin
+    hashes = unsigned_hash((sums[stop] - sums[begin]) * down[begin] + length.astype(np.uint64), 1)
+    long = length > LONG_PIECE
+    if long.any():
+        hashes[long] = np.fromiter((int.from_bytes(hashlib.blake2b(points[a:b].tobytes(), digest_size=8).digest(), "little")
+                                    for a, b in zip(begin[long].tolist(), stop[long].tolist())), np.uint64, int(long.sum()))
+    return hashes
+
+
 class Library(Pieces):
     """piece -> packed ids as the tokenizers library gives them; pieces are what its own pre-tokenizer finds.
 
@@ -86,6 +115,7 @@ class Library(Pieces):
 
     def __init__(self, definition: str):
         PieceCache.__init__(self)
+        self.forget()
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}  # fixed values: bytes that stand for themselves
@@ -121,6 +151,43 @@ class Library(Pieces):
                 out[k] = b"".join(t.id.to_bytes(4, "little") for t in tokenize(raw.decode("latin-1").translate(signs)))
         return out
 
+    def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text. Pieces are known by a hash of their code points, taken of all pieces of some texts at once; only new ones
+        become strings. Ids of known pieces stand in one array, from which texts gather theirs."""
+        for joined, points, begin, stop, upto in boundaries().spans(texts):
+            if not begin.size:
+                yield from [np.zeros(0, np.uint32)] * upto.size
+                continue
+            hashes = piece_hashes(points, begin, stop)
+            names, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+            if len(self.places) > self.limit:
+                self.forget()
+            slots = [self.places.get(h, -1) for h in names.tolist()]
+            new = [k for k, slot in enumerate(slots) if slot < 0]
+            if new:
+                made = self.learn([joined[a:b] for a, b in zip(begin[first[new]].tolist(), stop[first[new]].tolist())])
+                for k, slot in zip(new, self.keep(made)):
+                    slots[k] = slot
+                self.places.update(zip(names[new].tolist(), [slots[k] for k in new]))
+            slot = np.array(slots)[place]
+            count = self.counts[slot]
+            ids = self.ids[np.repeat(self.starts[slot] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            ends = np.concatenate([[0], np.cumsum(count)])[upto]
+            yield from np.split(ids, ends[:-1])
+
+    def forget(self) -> None:
+        """No known pieces, and empty arrays for their ids: places in them are where a piece's ids start, and how many there are."""
+        self.places: dict[int, int] = {}
+        self.ids, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def keep(self, made: list[bytes]) -> range:
+        count = np.array([len(x) // 4 for x in made], np.int64)
+        known = self.starts.size
+        self.starts = np.concatenate([self.starts, self.ids.size + np.cumsum(count) - count])
+        self.counts = np.concatenate([self.counts, count])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), np.uint32)])
+        return range(known, known + count.size)
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -134,11 +201,11 @@ def encode_and_frame(df: DataFrame, path: str, end_id: int = END_ID) -> DataFram
         library = worker_memory(f"library-{hash(definition.value)}", lambda: Library(definition.value))
         texts = [raw.decode() for raw in texts_of(batch.column(1))]
         cut = [any(s in text for s in library.special) for text in texts]  # the library cuts these out before its pieces
-        found = (ids for chunk in boundaries().chunks(["" if c else t for c, t in zip(cut, texts)]) for ids in library.encode(chunk))
+        found = library.texts(["" if c else t for c, t in zip(cut, texts)])
         frames = []
-        for doc_id, text, special, packed in zip(batch.column(0).to_pylist(), texts, cut, found):
-            packed = library.whole(text) if special else packed
-            frames.append(frame(doc_id, np.append(np.frombuffer(packed, "<u4"), np.uint32(end_id)), library.width))
+        for doc_id, text, special, ids in zip(batch.column(0).to_pylist(), texts, cut, found):
+            ids = np.frombuffer(library.whole(text), "<u4") if special else ids
+            frames.append(frame(doc_id, np.append(ids, np.uint32(end_id)), library.width))
         return {"frame": binary_array(frames)}
 
     return map_arrow(df, run, "frame binary")
