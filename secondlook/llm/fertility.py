@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 
 from secondlook.llm.bpe import Pieces, read_ranks
 from secondlook.llm.common import map_arrow, stage, texts_of, worker_memory
+from secondlook.operators.joins import lookup_join
 
 MIN_WORDS, MAX_REPEATED = 50, 50  # words; per cent of words in repeated three-word windows
 SYMBOLS = "#*$%&|<>"  # fixed value
 REACH = 2.0
-LEAST_GROUP = 100  # texts; a language and script with fewer is held against its script alone, then all texts
+PARENT_TEXTS = 100  # texts that the band of the script, or of all texts, counts for beside a group's own
 KEPT_WORDS = 300_000  # words a worker remembers
 MEASURES = ["chars_per_token", "piece_chars_per_token", "fallback_share", "entropy"]
+ENDS = [f"{m}_{e}" for m in MEASURES for e in ("low", "high")]
 SCRIPTS = ["LATIN", "GREEK", "CYRILLIC", "ARABIC", "HEBREW", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "THAI", "DEVANAGARI"]
 SCHEMA = ("row long, doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
           "n_repeat_words long, chars_per_token double, piece_chars_per_token double, fallback_share double, entropy double")
@@ -157,21 +159,32 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
 
-def bands(measured: DataFrame, reach: float = REACH, least: int = LEAST_GROUP) -> DataFrame:
-    """level (2: language and script, 1: script, 0: all), lang, script, and the two ends of each measure's band.
+def bands(measured: DataFrame, reach: float = REACH, parent_texts: int = PARENT_TEXTS) -> tuple[DataFrame, DataFrame, list]:
+    """Bands by language and script (lang, script, band), by script (script, band), and of all texts (numbers in the order of ENDS).
 
-    Quantiles come from Spark's mergeable sketches: one small row per group and task is shuffled.
+    Quantiles come from Spark's mergeable sketches: one small row per group and task is shuffled. A group's ends are blended by count with
+    those of its script, and a script's with those of all texts: a rare language lies close to its script's band, a frequent one
+    has its own, and no number of texts switches from one to the other. What sketches give may differ in the last digits
+    with the tasks that made them.
     """
     def ends(m: str) -> list[Column]:
         q = F.percentile_approx(m, [0.25, 0.75], 10_000)
         breadth = F.greatest(q[1] - q[0], 0.02 * F.abs(q[1]), F.lit(0.002))
         return [(q[0] - reach * breadth).alias(f"{m}_low"), (q[1] + reach * breadth).alias(f"{m}_high")]
 
+    def blend(own: str, above: Column) -> Column:
+        return (F.col("n") * F.col(own) + parent_texts * above) / (F.col("n") + parent_texts)
+
     good = measured.where(~base_failed())
     group = good.groupingSets([["lang", "script"], ["script"], []], "lang", "script")
-    return (group.agg(F.grouping_id().alias("gid"), F.count("*").alias("n"), *[e for m in MEASURES for e in ends(m)])
-            .withColumn("level", F.when(F.col("gid") == 0, 2).when(F.col("gid") == 3, 0).otherwise(1))
-            .where((F.col("level") == 0) | (F.col("n") >= least)).drop("gid", "n"))
+    found = stage(group.agg(F.grouping_id().alias("gid"), F.count("*").alias("n"), *[e for m in MEASURES for e in ends(m)]), "bands")
+    whole = found.where("gid = 3 AND n > 0").first()
+    every = [whole[e] if whole else None for e in ENDS]
+    by_script = found.where("gid = 2").select("script", F.array(*[blend(e, F.lit(v).cast("double")) for e, v in zip(ENDS, every)]).alias("band_1"))
+    above = by_script.select(F.col("script").alias("s"), "band_1")
+    by_both = (found.where("gid = 0").join(above, F.col("script").eqNullSafe(F.col("s")))
+               .select("lang", "script", F.array(*[blend(e, F.col("band_1")[k]) for k, e in enumerate(ENDS)]).alias("band_2")))
+    return by_both, by_script, every
 
 
 def judge(df: DataFrame, rank_path: str, piece_path: str, reach: float = REACH, **columns: str) -> DataFrame:
@@ -181,19 +194,12 @@ def judge(df: DataFrame, rank_path: str, piece_path: str, reach: float = REACH,
     and script. Repeated rows are judged alike; a missing language is a group of its own.
     """
     measured = stage(measure(df, rank_path, piece_path, **columns), "fertility")  # read twice: for bands and verdicts
-    # at most one row per language and script that LEAST_GROUP texts share, with a bound on its count below
-    found = bands(measured, reach).orderBy(F.desc("level"), "lang", "script").limit(100_000).collect()
-    limits = df.sparkSession.createDataFrame(found, bands(measured, reach).schema)
-    ends = F.struct(*[F.col(f"{m}_{e}") for m in MEASURES for e in ("low", "high")])
-    by = [F.broadcast(limits.where(f"level = {k}").select(*keys, ends.alias(f"band_{k}")))
-          for k, keys in ((2, [F.col("lang").alias("l"), F.col("script").alias("s")]), (1, [F.col("script").alias("s")]))]
-    whole = [r for r in found if r["level"] == 0]
-    joined = (measured.join(by[0], F.col("lang").eqNullSafe(F.col("l")) & F.col("script").eqNullSafe(F.col("s")), "left").drop("l", "s")
-              .join(by[1], F.col("script").eqNullSafe(F.col("s")), "left").drop("s"))
-    every = F.struct(*[F.lit(whole[0][f"{m}_{e}"] if whole else None).cast("double").alias(f"{m}_{e}") for m in MEASURES for e in ("low", "high")])
-    band = F.coalesce("band_2", "band_1", every)
+    by_both, by_script, every = bands(measured, reach)
+    joined = lookup_join(measured, by_both, {"lang": "lang", "script": "script"})
+    joined = lookup_join(joined, by_script, {"script": "script"})
+    band = F.coalesce("band_2", "band_1", F.array(*[F.lit(v).cast("double") for v in every]))
     inside = F.lit(True)
-    for m in MEASURES:
-        inside = inside & F.coalesce(F.col(m).between(band[f"{m}_low"], band[f"{m}_high"]), F.lit(True))
+    for k, m in enumerate(MEASURES):
+        inside = inside & F.coalesce(F.col(m).between(band[2 * k], band[2 * k + 1]), F.lit(True))
     return joined.select("doc_id", "lang", "script", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *MEASURES,
                          base_failed().alias("base_failed"), (~base_failed() & inside).alias("kept"))
