@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -26,13 +27,17 @@ BLOCKS = frozenset("""address article aside blockquote body button caption cente
 form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot
 th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SILENT = "script|style|title|textarea|noscript|template|svg|math|iframe|object|head"
+SILENT = "script|style|title|textarea|template|svg|iframe|head"  # what is inside is no text of the page; of others the model decides
+TO_THE_END = {"script", "style"}  # never closed, they reach to the end of the page; of others only the tag goes then
+# Quoted values may be long or hold a "<", but not both without bound: a quote that is never closed costs a bounded look ahead.
+VALUES = r"(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|\"[^\"]{0,1000}\"|'[^']{0,1000}'|[\"'])*+"
 CLOSES_P = BLOCKS - {"button", "label", "option", "select", "body", "html"}
 ALONE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "p": BLOCKS - {"p"}}
 HEAD_ONLY = re.compile(r"<head(?=[\s>]).*?(?:</head\s*>|(?=<body[\s>]))", re.I | re.S)
-QUIET = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.I | re.S)
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+QUIET = re.compile(rf"<(?:(!--)|({SILENT})(?=[\s/>]){VALUES}>|[!?][^<>]*>)", re.I)
+CLOSED = re.compile(rf"</({SILENT})\s*>", re.I)
+TAG = re.compile(rf"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({VALUES})>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
 SMOOTH = 0.5
@@ -47,6 +52,29 @@ class Node:
         self.children: list[int] = []
 
 
+def audible(page: str) -> str:
+    """The page without comments, declarations and silent elements. Each part is looked at once, however many are never closed."""
+    ends: dict[str, list[tuple[int, int]]] = {}
+    for m in CLOSED.finditer(page):
+        ends.setdefault(m.group(1).lower(), []).append(m.span())
+    out, at = [], 0
+    while m := QUIET.search(page, at):
+        out.append(page[at:m.start()])
+        at = m.end()
+        if m.group(1):
+            end = page.find("-->", at)
+            at = end + 3 if end >= 0 else len(page)
+        elif m.group(2) and not m.group().endswith("/>"):
+            tag = m.group(2).lower()
+            own = ends.get(tag, [])
+            k = bisect_left(own, (at,))
+            if k < len(own):
+                at = own[k][1]
+            elif tag in TO_THE_END:
+                at = len(page)
+    return "".join(out) + page[at:]
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes in page order (a root first), and runs of text as (node, raw text)."""
     nodes, runs = [Node("#root", -1, (), 0)], []
@@ -59,7 +87,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if not text.isspace():
                 runs.append((here, text))
 
-    page = QUIET.sub("", HEAD_ONLY.sub("", page, count=1))
+    page = audible(HEAD_ONLY.sub("", page, count=1))
     at = 0
     for m in TAG.finditer(page):
         begin = m.start()

@@ -108,3 +108,22 @@ def test_leaks_equal_brute_force(spark):
     assert clean.columns == df.columns and clean.count() == len([d for d, t in docs if d not in {x for x, _ in want}])
     parts = D.indexes(bench, index_bytes=1000)  # several rounds find the same
     assert len(parts) > 1 and {(d, leak[0]) for d, t in docs for x in parts for leak in x.leaks(t or "")} >= want - {(None, 3)}
+
+
+def test_nothing_of_an_article_goes_with_unclosed_elements():
+    text = lambda page: " ".join(t for _, t in parse(page)[1])
+    assert text("<p>a <svg/>b</p><p>c<svg x='1'>in</svg> d</p><p>e") == "a b c d e"
+    assert text("<p>a<svg>b</p><p>c") == "ab c"  # never closed: the tag alone goes
+    assert text("<p>a<math>x</math><noscript>n</noscript><object>o</object></p>") == "axno"
+    assert text("<p>a<script>if (a < b) '</p>'</script>b<style>x") == "ab"
+    assert text("<p title='a>b<c'>a<!-- x -- > y -->b<!never closed") == "ab<!never closed"
+    assert text("<P>a<SCRIPT src=x></SCRIPT >b<Script/>c") == "abc"
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<svg ", "<svg>", "<a href='", "<!--", '<div "\'', "<p>x"])
+def test_broken_pages_of_two_megabytes_take_seconds(piece):
+    import time
+    page = piece * (2_000_000 // len(piece))
+    began = time.process_time()
+    parse(page)
+    assert time.process_time() - began < 30
