@@ -29,14 +29,21 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str | StructType) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch of whole rows; it returns columns by name, in the schema's order."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str | StructType,
+              slice_bytes: int = 0) -> DataFrame:
+    """Apply ``fn`` to each Arrow batch of whole rows; it returns columns by name, in the schema's order. With ``slice_bytes`` a
+    batch comes in slices of about that size, for functions that make much more than they are given."""
     small_batches(df.sparkSession)
 
+    def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        step = -(-batch.num_rows // max(1, batch.nbytes // slice_bytes)) if slice_bytes and batch.num_rows else max(1, batch.num_rows)
+        return (batch.slice(at, step) for at in range(0, batch.num_rows, step))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
+            for part in slices(batch):
+                if (out := fn(part)) is not None:
+                    yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
 
     return df.mapInArrow(run, schema)
 

@@ -108,25 +108,25 @@ def edit(a, b):
     return row[-1]
 
 
-def bigram_counts(names):
-    out = np.zeros((len(names), 512), np.int32)
-    for i, n in enumerate(names):
-        own = n.decode()
+def bigram_counts(texts):
+    out = np.zeros((len(texts), 256), np.int16)
+    for i, own in enumerate(texts):
         for x, y in zip(own, own[1:]):
-            out[i, (ord(x) * 31 + ord(y)) % 512] += 1
+            out[i, (ord(x) * 31 + ord(y)) % 256] += 1
     return out
 
 
 def near_pairs(names, similarity=0.8):
     """All pairs of lines with that edit similarity. An edit changes at most four counts of bigrams, which rules most pairs out."""
-    counts, sizes, found = bigram_counts(names), np.array([len(n.decode()) for n in names]), []
-    for i in range(len(names) - 1):
-        room = np.maximum(sizes[i + 1:], sizes[i]) * (1 - similarity) + 1e-9
-        apart = np.abs(counts[i + 1:] - counts[i]).sum(axis=1)
-        for j in np.flatnonzero((np.abs(sizes[i + 1:] - sizes[i]) <= room) & (apart <= 4 * room)).tolist():
-            a, b = names[i].decode(), names[i + 1 + j].decode()
-            if fuzzylines.edit_distance(a, b) <= room[j]:
-                found.append((names[i], names[i + 1 + j]))
+    texts = sorted((n.decode() for n in names), key=len)
+    counts, sizes, found = bigram_counts(texts), np.array([len(t) for t in texts]), []
+    for i in range(len(texts) - 1):
+        last = int(np.searchsorted(sizes, sizes[i] / similarity + 1e-6, "right"))
+        room = sizes[i + 1:last] * (1 - similarity) + 1e-9
+        apart = np.abs(counts[i + 1:last] - counts[i]).sum(axis=1)
+        for j in np.flatnonzero((sizes[i + 1:last] - sizes[i] <= room) & (apart <= 4 * room)).tolist():
+            if fuzzylines.edit_distance(texts[i], texts[i + 1 + j]) <= room[j]:
+                found.append((texts[i].encode(), texts[i + 1 + j].encode()))
     return found
 
 
