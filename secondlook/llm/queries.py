@@ -231,3 +231,43 @@ SELECT d.doc_id, len(d.words) AS n_words, count(*) FILTER (j.base AND j.found) A
   coalesce(string_agg(DISTINCT j.label, ',' ORDER BY j.label) FILTER (j.found), '') AS labels, least(1.0::DOUBLE, coalesce(max(j.share), 0.0)) AS score
 FROM docs d LEFT JOIN judged j USING (rid) GROUP BY d.rid, d.doc_id, d.words
 """
+
+
+# every window of 13 words by itself; a word goes if one around it starts in a document with a smaller id
+ORACLES["op6_suffix_automata"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS id,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT rid, id, k, array_to_string(words[k:k + 12], ' ') AS own FROM (SELECT *, unnest(range(1, len(words) - 11)) AS k FROM docs)),
+firsts AS (SELECT own, min(id) AS first FROM windows GROUP BY own),
+gone AS (
+  SELECT DISTINCT rid, k + j AS place FROM windows JOIN firsts USING (own), (SELECT unnest(range(13)) AS j) WHERE first < id),
+places AS (SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM docs),
+kept AS (
+  SELECT p.rid, count(g.place) AS n_removed, coalesce(string_agg(p.word, ' ' ORDER BY p.place) FILTER (g.place IS NULL), '') AS kept
+  FROM places p LEFT JOIN gone g ON p.rid = g.rid AND p.place = g.place GROUP BY p.rid)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid)
+"""
+
+# overlaps of all pairs with a common shingle, then everything within reach
+ORACLES["op7_divideskip_jaccard"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+shingles AS (
+  SELECT DISTINCT rid, array_to_string(words[k:k + 2], ' ') AS own
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS k FROM docs WHERE len(words) > 0)),
+sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+common AS (
+  SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.own = b.own AND a.rid < b.rid GROUP BY ALL),
+links AS (
+  SELECT x, y FROM common JOIN sizes a ON a.rid = x JOIN sizes b ON b.rid = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+mutual AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (
+  SELECT x, y FROM mutual UNION SELECT r.x, b.y FROM reach r JOIN mutual b ON r.y = b.x)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, min(o.doc_id)) AS component_id
+FROM docs d LEFT JOIN sizes s ON s.rid = d.rid LEFT JOIN reach r ON r.x = d.rid LEFT JOIN docs o ON o.rid = r.y
+GROUP BY d.rid, d.doc_id, s.n
+"""

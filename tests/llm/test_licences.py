@@ -85,7 +85,7 @@ def test_own_templates_and_empty_tables(spark):
         licences.scan(df, {"one": "x"}, [])
 
 
-@pytest.mark.parametrize("name", ["op11_merkle_manifest", "op12_licence_diagonals", "op13_fill_in_middle"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{os.path.join(SF, 'documents.parquet')}'")
