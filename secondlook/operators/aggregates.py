@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from secondlook.functions.predicates import listed
+
 
 def row_count(df: DataFrame, name: str = "n") -> DataFrame:
     return df.agg(F.count("*").alias(name))  # AGG-1
@@ -22,6 +24,11 @@ def count_by(df: DataFrame, **keys: Column) -> DataFrame:
     return df.groupBy(*[k.alias(n) for n, k in keys.items()]).agg(F.count("*").alias("n"))
 
 
+def count_not_listed(df: DataFrame, x: str, values, by: str | None = None, name: str = "n") -> DataFrame:
+    """Rows whose value is not among ``values``, a missing one included (AGG-9); with ``by``, per group."""
+    return df.groupBy(*([by] if by else [])).agg(F.count_if(~listed(x, values)).alias(name))
+
+
 MAX_LEVELS = 1_000  # levels of a factor; a column with more is refused
 
 

@@ -10,7 +10,7 @@ from secondlook.operators import sampling as M
 from secondlook.session import stage, stage_path
 from secondlook.sources.tables import PublishedRuns
 from secondlook.workload import standins as I
-from secondlook.workload.newton import chi_square_tail
+from secondlook.workload.newton import chi_square_tail, eliminated
 from secondlook.workload.registry import query
 from secondlook.workload.standins import hash_sql
 
@@ -246,78 +246,78 @@ def ml1(spark, sf):
 
 # --- discriminants --------------------------------------------------------------------------
 
-POINTS = I.StandIn("embeddings", [
-    "vec_id", "CASE WHEN label < 5 THEN 0 ELSE 1 END AS y", "label",
-    "CAST(embedding[{i}] AS DOUBLE) AS x1", "CAST(embedding[{j}] AS DOUBLE) AS x2"])
+DIMENSIONS = [f"x{i}" for i in range(1, 65)]
 
 
 def points(spark, sf):
-    # Arrays count from 0 in Spark and from 1 in the SQL of the check.
-    return I.read(spark, sf, "embeddings").selectExpr(*[c.format(i=0, j=1) for c in POINTS.columns])
-
-
-POINTS_SQL = POINTS.sql.format(i=1, j=2)
-_MOMENTS = f"""(SELECT y, CAST(count(*) AS DOUBLE) AS n, avg(x1) AS m1, avg(x2) AS m2, covar_samp(x1, x1) AS c11,
-  covar_samp(x1, x2) AS c12, covar_samp(x2, x2) AS c22 FROM {POINTS_SQL} p GROUP BY y)"""
-
-
-@query("ml10_lda_moments", f"""
-  SELECT CAST(y AS VARCHAR) AS class, CAST(n AS BIGINT) AS n, round(n / total, 9) AS prior, f AS feature,
-    round(CASE f WHEN 'x1' THEN m1 ELSE m2 END, 9) AS mean
-  FROM {_MOMENTS} m CROSS JOIN (SELECT sum(n) AS total FROM {_MOMENTS} m) CROSS JOIN (VALUES ('x1'), ('x2')) v(f)""")
+    return I.read(spark, sf, "embeddings").select(
+        "vec_id", F.when(F.col("label") < 5, 0).otherwise(1).alias("y"), "label",
+        *[F.col("embedding")[i].cast("double").alias(x) for i, x in enumerate(DIMENSIONS)])
+
+
+# All 64 components: class means, sums of products about them, and matrices solved by elimination.
+_CLASSES = """p AS (SELECT vec_id, CASE WHEN label < 5 THEN 0 ELSE 1 END AS y, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+  j AS (SELECT unnest(range(1, 65)) AS j),
+  means AS (SELECT y, max(n) AS n, list(m ORDER BY j) AS m FROM (SELECT y, j, avg(x[j]) AS m, count(*) AS n FROM p, j GROUP BY y, j) GROUP BY y),
+  z AS (SELECT vec_id, p.y, list_transform(range(1, 65), lambda k: x[k] - m[k]) AS z FROM p JOIN means ON p.y = means.y),
+  cells AS (SELECT y, a.j AS i, b.j AS j, sum(z[a.j] * z[b.j]) AS s FROM z, j a, j b GROUP BY ALL),
+  total AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM means)"""
+_LINEAR = f"""{_CLASSES},
+  pooled AS (SELECT i, list(s ORDER BY j) AS r FROM (SELECT i, j, sum(s) / (max(total) - 2) AS s FROM cells, total GROUP BY i, j) GROUP BY i),
+  sides AS (SELECT list(r || [a.m[i], b.m[i]] ORDER BY i) AS m FROM pooled, means a, means b WHERE a.y = 0 AND b.y = 1),
+  solved AS (SELECT {eliminated('m', 64)} AS s FROM sides),
+  weights AS (SELECT y, n, m, list_transform(range(1, 65), lambda k: s[k][65 + y] / s[k][k]) AS w FROM means, solved)"""
+_QUADRATIC = f"""{_CLASSES},
+  own AS (SELECT y, i, list(s / (n - 1) ORDER BY j) || list_transform(range(1, 65), lambda k: CAST(k = i AS INTEGER)::DOUBLE) AS r
+    FROM cells JOIN means USING (y) GROUP BY y, i),
+  sides AS (SELECT y, list(r ORDER BY i) AS m FROM own GROUP BY y),
+  solved AS (SELECT y, {eliminated('m', 64)} AS s FROM sides),
+  inverse AS (SELECT y, list_transform(s, lambda r, i: list_transform(r[65:128], lambda v: v / r[i])) AS inv,
+    list_sum(list_transform(s, lambda r, i: ln(r[i]))) AS logdet FROM solved)"""
+
+
+@query("ml10_lda_moments", f"""WITH {_CLASSES}
+  SELECT CAST(y AS VARCHAR) AS class, n, round(n / total, 9) AS prior, concat('x', j) AS feature, round(m[j], 9) AS mean FROM means, j, total""")
 def ml10(spark, sf):
     rows = points(spark, sf)
-    fit = discriminant.fit_lda(rows, "y", ["x1", "x2"])
+    fit = discriminant.fit_lda(rows, "y", DIMENSIONS)
     return rounded(discriminant.moments_table(rows, fit.classes, fit.features), 9, "prior", "mean")
 
 
-_POOLED = f"""(SELECT sum((n-1)*c11)/(sum(n)-2) AS s11, sum((n-1)*c12)/(sum(n)-2) AS s12,
-  sum((n-1)*c22)/(sum(n)-2) AS s22, sum(n) AS total FROM {_MOMENTS} m)"""
-
-
-@query("ml11_lda_class", f"""
-  WITH s AS (SELECT p.vec_id, m.y, ln(n/total) + (x1*(s22*m1-s12*m2) + x2*(s11*m2-s12*m1)
-      - 0.5*(m1*(s22*m1-s12*m2) + m2*(s11*m2-s12*m1))) / (s11*s22-s12*s12) AS score
-    FROM {POINTS_SQL} p, {_MOMENTS} m, {_POOLED} q)
-  SELECT vec_id, y AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, y) AS r
-    FROM s) WHERE r = 1""")
+@query("ml11_lda_class", f"""WITH {_LINEAR}
+  SELECT vec_id, predicted FROM (SELECT vec_id, w.y AS predicted, row_number() OVER (PARTITION BY vec_id
+    ORDER BY ln(n / total) + list_dot_product(x, w) - list_dot_product(m, w) / 2 DESC, w.y) AS place FROM p, weights w, total) WHERE place = 1""")
 def ml11(spark, sf):
     rows = points(spark, sf)
-    return discriminant.fit_lda(rows, "y", ["x1", "x2"]).classify(rows).select("vec_id", "predicted")
+    return discriminant.fit_lda(rows, "y", DIMENSIONS).classify(rows).select("vec_id", "predicted")
 
 
-@query("ml12_qda_class", f"""
-  WITH s AS (SELECT p.vec_id, m.y, ln(n/total) - 0.5*ln(c11*c22-c12*c12) - 0.5*(c22*(x1-m1)*(x1-m1)
-      - 2*c12*(x1-m1)*(x2-m2) + c11*(x2-m2)*(x2-m2)) / (c11*c22-c12*c12) AS score
-    FROM {POINTS_SQL} p, {_MOMENTS} m, {_POOLED} q)
-  SELECT vec_id, y AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, y) AS r
-    FROM s) WHERE r = 1""")
+@query("ml12_qda_class", f"""WITH {_QUADRATIC},
+  gaps AS (SELECT vec_id, c.y, n, list_transform(range(1, 65), lambda k: x[k] - m[k]) AS z FROM p, means c)
+  SELECT vec_id, predicted FROM (SELECT vec_id, g.y AS predicted, row_number() OVER (PARTITION BY vec_id
+    ORDER BY ln(n / total) - logdet / 2 - list_dot_product(z, list_transform(inv, lambda r: list_dot_product(r, z))) / 2 DESC, g.y) AS place
+    FROM gaps g JOIN inverse ON g.y = inverse.y, total) WHERE place = 1""")
 def ml12(spark, sf):
     rows = points(spark, sf)
-    return discriminant.fit_qda(rows, "y", ["x1", "x2"]).classify(rows).select("vec_id", "predicted")
+    return discriminant.fit_qda(rows, "y", DIMENSIONS).classify(rows).select("vec_id", "predicted")
 
 
-@query("eda6_discriminant_histogram", f"""
-  WITH w AS (SELECT (s22*(b.m1-a.m1)-s12*(b.m2-a.m2)) AS u1, (s11*(b.m2-a.m2)-s12*(b.m1-a.m1)) AS u2,
-      (a.n*a.m1+b.n*b.m1)/total AS g1, (a.n*a.m2+b.n*b.m2)/total AS g2, s11, s12, s22
-      FROM {_MOMENTS} a, {_MOMENTS} b, {_POOLED} q WHERE a.y = 0 AND b.y = 1),
-  v AS (SELECT y, (CASE WHEN u1 < 0 THEN -1 ELSE 1 END) * (u1*(x1-g1)+u2*(x2-g2))
-      / sqrt(u1*u1*s11 + 2*u1*u2*s12 + u2*u2*s22) AS ld1 FROM {POINTS_SQL} p, w),
+@query("eda6_discriminant_histogram", f"""WITH {_LINEAR},
+  way AS (SELECT list_transform(range(1, 65), lambda k: b.w[k] - a.w[k]) AS u, list_transform(range(1, 65), lambda k: b.m[k] - a.m[k]) AS gap,
+    list_transform(range(1, 65), lambda k: (a.n * a.m[k] + b.n * b.m[k]) / total) AS centre FROM weights a, weights b, total WHERE a.y = 0 AND b.y = 1),
+  v AS (SELECT y, sign(u[1]) * (list_dot_product(x, u) - list_dot_product(centre, u)) / sqrt(list_dot_product(u, gap)) AS ld1 FROM p, way),
   c AS (SELECT y, CAST(floor(ld1/0.5+0.5) AS BIGINT) AS bin, count(*) AS n FROM v GROUP BY 1, 2),
   g AS (SELECT y, bin FROM (SELECT DISTINCT y FROM c),
       (SELECT unnest(generate_series(min(bin), max(bin))) AS bin FROM c))
   SELECT g.y, g.bin * 0.5e0 AS x, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM g LEFT JOIN c USING (y, bin)""")
 def eda6(spark, sf):
     rows = points(spark, sf)
-    placed = discriminant.fit_lda(rows, "y", ["x1", "x2"]).project(rows)
+    placed = discriminant.fit_lda(rows, "y", DIMENSIONS).project(rows)
     return eda.frequency_by_width(placed, "ld1", "y", 0.5)
 
 
 # --- nearest neighbours ---------------------------------------------------------------------
 
-DIMENSIONS = [f"x{i}" for i in range(1, 65)]
-
-
 def knn_split(spark, sf):
     rows = I.read(spark, sf, "embeddings").select(
         "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(x) for i, x in enumerate(DIMENSIONS)])

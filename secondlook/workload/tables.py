@@ -197,6 +197,13 @@ def flt8(spark, sf):
             .select("row_id", "Result_Description"))
 
 
+@query("agg9_not_listed", f"""
+  SELECT Product, count(*) FILTER (WHERE Result_Description IS NULL OR Result_Description NOT IN {_CODES}) AS n FROM {CARDS_SQL} t
+  GROUP BY Product""")
+def agg9(spark, sf):
+    return A.count_not_listed(all_cards(spark, sf), "Result_Description", S.CASH_AND_DEBT_DECLINES, "Product")
+
+
 @query("flt9_complete_cases", f"""
   SELECT row_id, ID, Age, Monthly_Salary, Doc_Waive FROM {CARDS_SQL} t
   WHERE ID IS NOT NULL AND Age IS NOT NULL AND Monthly_Salary IS NOT NULL AND Doc_Waive IS NOT NULL""")
