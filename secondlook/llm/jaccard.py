@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from secondlook.llm.common import (binary_array, blobs_by_bucket, map_arrow, no_text, shuffle_partitions, stage, texts_of, unsigned_hash,
-                                   word_hashes)
+from secondlook.llm.common import (binary_array, blobs_by_bucket, map_arrow, no_text, shuffle_partitions, stage, text_hashes, texts_of,
+                                   unsigned_hash)
 from secondlook.llm.graph import components, contract
 
 WORDS, PERCENT = 5, 80
@@ -39,7 +39,7 @@ ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB8665
 
 def shingle_set(raw: bytes, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles; with fewer words, of the whole sequence; A-Z count as a-z."""
-    own = word_hashes().of(raw.translate(LOWER).split())
+    own = text_hashes(raw.translate(LOWER))
     if not own.size:
         return own
     width = min(words, own.size)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from secondlook.llm.common import (binary_array, blobs_by_bucket, map_arrow, no_text, shuffle_partitions, small_batches, stage, texts_of,
-                                   unsigned_hash, word_hashes)
+                                   text_hashes, unsigned_hash)
 
 WINDOW, GRAM = 13, 5
 CHUNK_BYTES = 1 << 20  # text that is read together
@@ -142,12 +142,16 @@ def shared_keys(blobs: DataFrame) -> DataFrame:
         parts = [np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()]
         keys, place, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
         runs = np.bincount(place, weights=np.frombuffer(b"".join(group.column("runs").to_pylist()), np.int64), minlength=keys.size)
-        hot = keys[(count > 1) & (runs > most)]
-        keys = keys[count > 1]
-        found = [np.unique(p[np.isin(p, keys)]) for p in parts]
+        shared, hot = count > 1, (count > 1) & (runs > most)
+        found, hots = [], []
+        for own in np.split(place, np.cumsum([p.size for p in parts])[:-1]):  # ascending, as the keys of a blob are
+            own = own[shared[own]]
+            own = own[np.append(True, own[1:] != own[:-1])[:own.size]]
+            found.append(keys[own])
+            hots.append(keys[own[hot[own]]])
         keep = [i for i, f in enumerate(found) if f.size]
         return pa.table({"chunk": group.column("chunk").take(pa.array(keep, pa.int64())), "keys": binary_array([found[i].tobytes() for i in keep]),
-                         "hot": binary_array([found[i][np.isin(found[i], hot)].tobytes() for i in keep])})
+                         "hot": binary_array([hots[i].tobytes() for i in keep])})
 
     return blobs.groupBy("bucket").applyInArrow(run, "chunk long, keys binary, hot binary")
 
@@ -178,23 +182,20 @@ def repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str =
     # Copies of a text follow from its first document: only that one is searched.
     first = heads.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("id").alias("id"))
     first = first.join(heads.groupBy("sha", "id").agg(F.min("place").alias("place")), ["sha", "id"])  # one raw text of several with these words
-    texts = docs.select(F.pmod("place", F.lit(chunks)).alias("chunk"), "id", "text")
-    notes = first.select(F.pmod("place", F.lit(chunks)).alias("chunk"), "id", "sha", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("firsts"))
-
-    def firsts_of(left: pa.Table, right: pa.Table) -> list[tuple[int, str, list[bytes]]]:
-        """The documents of a chunk that are their text's first: id, sha and words."""
-        wanted = {(i, s) for i, s in zip(right.column("id").to_pylist(), right.column("sha").to_pylist()) if s is not None}
-        ids, out = {i for i, _ in wanted}, []
-        for i, raw in zip(left.column("id").to_pylist(), left.column("text").to_pylist()):
-            if i in ids:
-                words = raw.encode().split()
-                if (i, sha := hashlib.sha256(b" ".join(words)).hexdigest()) in wanted:
-                    wanted.discard((i, sha))
-                    out.append((i, sha, words))
+    texts = docs.select(F.pmod("place", F.lit(chunks)).alias("chunk"), "id", "place", "text")
+    notes = first.select(F.pmod("place", F.lit(chunks)).alias("chunk"), F.col("place").alias("id"), "sha", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("firsts"))
+
+    def firsts_of(left: pa.Table, right: pa.Table) -> list[tuple[int, str, bytes]]:
+        """The documents of a chunk that are their text's first: id, sha and text."""
+        wanted = {p: s for p, s in zip(right.column("id").to_pylist(), right.column("sha").to_pylist()) if s is not None}
+        out = []
+        for i, p, raw in zip(left.column("id").to_pylist(), left.column("place").to_pylist(), texts_of(left.column("text"))):
+            if (sha := wanted.pop(p, None)) is not None:  # of equal rows one
+                out.append((i, sha, raw))
         return out
 
     def give_keys(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = [window_keys(word_hashes().of(words), window, gram) for _, _, words in firsts_of(left, right)]
+        own = [window_keys(text_hashes(raw), window, gram) for _, _, raw in firsts_of(left, right)]
         starts = [k[np.append(True, k[1:] != k[:-1])] for k in own if k.size]  # one for each passage
         none = np.zeros(0, np.uint64)
         keys, count = np.unique(np.concatenate([none, *map(np.unique, own)]), return_counts=True)
@@ -209,15 +210,15 @@ def repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str =
     by_chunk = texts.groupBy("chunk")
     blobs = by_chunk.cogroup(notes.groupBy("chunk")).applyInArrow(give_keys, "bucket long, chunk long, keys binary, runs binary")
     shared = shared_keys(blobs).select("chunk", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("sha"), "keys", F.col("hot").alias("firsts"))
-    # here ``firsts`` are the hot ones of the keys
+    # here ``firsts`` are the hot ones of the keys; in ``notes`` ``id`` is the place of a text's first document
 
     def give_passages(left: pa.Table, right: pa.Table) -> pa.Table:
         packed = [k for k in right.column("keys").to_pylist() if k is not None]
         wanted = np.unique(np.frombuffer(b"".join(packed), np.uint64))
         hot = set(np.frombuffer(b"".join(k for k in right.column("firsts").to_pylist() if k is not None), np.uint64).tolist())
         found: dict[bytes, list] = {}  # a passage once for the chunk, with its smallest and largest document
-        for i, _, words in firsts_of(left, right) if wanted.size else ():
-            keys = window_keys(word_hashes().of(words), window, gram)
+        for i, _, raw in firsts_of(left, right) if wanted.size else ():
+            keys, words = window_keys(text_hashes(raw), window, gram), raw.split()
             for a, b in zip(*passages(keys, wanted)):
                 key = int(keys[a])
                 for own in [b" ".join(words[k:k + window]) for k in range(a, b + 1)] if key in hot else [b" ".join(words[a:b + window])]:
@@ -253,8 +254,8 @@ def repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str =
         known = {k: np.frombuffer(f, np.int64) for _, k, f in about}
         wanted = np.unique(np.array([i for i, _, _ in about], np.int64).view(np.uint64))
         rows = []
-        for i, sha, words in firsts_of(left, right) if wanted.size else ():
-            keys = window_keys(word_hashes().of(words), window, gram)
+        for i, sha, raw in firsts_of(left, right) if wanted.size else ():
+            keys, words = window_keys(text_hashes(raw), window, gram), raw.split()
             gone = np.zeros(len(words) + 1, np.int64)
             for a, b in zip(*passages(keys, wanted)):
                 before = known.get(b" ".join(words[a:b + window]))
