@@ -249,14 +249,21 @@ def _classes(df: DataFrame, words: int, percent: int, doc_id: str, text: str) ->
     standing = stage(known.groupBy("digest").agg(F.min("doc_id").alias("standing")), "standing")
     members = standing.join(groups, F.col("standing") == F.col("node")).select(F.col("standing").alias("doc_id"), "digest", "label")
     members = members.join(known.select("digest", "n_shingles").distinct(), "digest")
-    weights = members.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("weight")).where("sets > 1")
+    weights = members.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("group_weight")).where("sets > 1").drop("sets")
+    # Linked sets lie in one size class or in neighbouring ones (a little wider than ``size_class``): those of a large group
+    # go to the tasks of two classes, and only a pair of classes too large for a task is split into blocks that meet pairwise.
+    span = F.floor(F.log("n_shingles") / F.lit(math.log(100 / percent) * (1 + 1e-7))).cast("int") if percent < 100 else F.col("n_shingles").cast("int")
+    spans = F.when(F.col("group_weight") <= GROUP_SHINGLES // 2, F.array(F.lit(-1))).otherwise(F.array(span, span + 1) if percent < 100 else F.array(span))
+    members = members.join(weights, "label").select("doc_id", "digest", "label", "n_shingles", F.explode(spans).alias("span"))
+    weights = members.groupBy("label", "span").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("weight")).where("sets > 1")
     blocks = F.ceil(F.col("weight") / (GROUP_SHINGLES // 2)).cast("int")
     tasks = max(4 * shuffle_partitions(spark), total // (GROUP_SHINGLES // 4))
     small = F.array(F.concat_ws("-", F.lit("s"), F.pmod(F.xxhash64("label"), F.lit(tasks))))
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    large = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.concat_ws("-", F.lit("l"), "label", F.least(k, F.col("block")), F.greatest(k, F.col("block"))))
-    members = (members.join(weights.select("label", blocks.alias("blocks")), "label").withColumn("block", block)
-               .select("doc_id", "digest", F.xxhash64("digest").alias("node"), "label", F.when(F.col("blocks") <= 1, small).otherwise(large).alias("tasks")))
+    large = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.concat_ws("-", F.lit("l"), "label", "span", F.least(k, F.col("block")), F.greatest(k, F.col("block"))))
+    members = members.join(weights.select("label", "span", blocks.alias("blocks")), ["label", "span"]).withColumn("block", block)
+    members = members.groupBy("doc_id", "digest", "label").agg(F.flatten(F.collect_list(F.when(F.col("span") < 0, small).otherwise(large))).alias("tasks"))
+    members = members.select("doc_id", "digest", F.xxhash64("digest").alias("node"), "label", "tasks")
 
     def sets_of(batch: pa.RecordBatch) -> dict | None:
         rows = []

@@ -222,3 +222,28 @@ def test_a_bucket_gives_one_link_for_each_document():
     node, label = jaccard._contracted(a, b)
     assert node.size == np.unique(node).size < 300 and (label < node).all()
     assert classes_of(list(zip(node.tolist(), label.tolist())), range(300)) == classes_of([(x, y) for x, y in zip(a.tolist(), b.tolist())], range(300))
+
+
+def test_sets_of_a_large_group_go_to_two_size_classes(spark, monkeypatch):
+    """A group too large for a task is split by size first: its sets are not sent once for each block."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    sent, apply = [], PandasGroupedOpsMixin.applyInArrow
+
+    def spy(self, function, schema):
+        if function.__name__ == "compare":
+            sent.append(self._df)
+        return apply(self, function, schema)
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInArrow", spy)
+    monkeypatch.setattr(jaccard, "GROUP_SHINGLES", 10_000)
+    rng = random.Random(21)
+    phrase = [f"p{k}" for k in range(8)]
+    rows = []
+    for i in range(60):  # hang together by a phrase, few are near
+        words = phrase * 2 + [f"w{rng.randrange(10 ** 6)}" for _ in range(int(12 * 1.08 ** i))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + [f"x{i}"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "bucket_keys", lambda shingles, percent: np.full(1, 7, np.uint64))  # all sets meet: one candidate group
+    assert result(df, words=3, percent=90) == brute(rows, 3, 90)
+    sets, rows_sent = sent[0].select("node").distinct().count(), sent[0].count()
+    assert sets > 60 and rows_sent < 3 * sets
