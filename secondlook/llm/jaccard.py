@@ -1,9 +1,10 @@
 """N-gram Jaccard join: linked documents by T-occurrence search, as classes.
 
-Candidates are narrowed exactly. Sets of similarity t have a bounded symmetric difference, so if the
-shingles of a size class are dealt into a few more buckets than that bound, a linked pair agrees on at
-least one whole bucket. Documents with an equal bucket are joined into candidate groups (links to the
-bucket's smallest document, then components), and only groups travel with their sets.
+Candidates are narrowed exactly. A linked document shares ``percent`` of its shingles with one other, so a count of those that
+any other row has too leaves out most documents: 32 bits of each shingle go to the task of its hash, counts per document come back.
+Sets of similarity t have a bounded symmetric difference, so if the shingles of a size class are dealt into a few
+more buckets than that bound, a linked pair agrees on at least one whole bucket. Of the documents left, those with an equal
+bucket are joined into candidate groups (links to the bucket's smallest document, then components), and groups travel with their sets.
 
 Inside a group an inverted list per shingle leads to the documents that share it. For each document the
 overlap T that a partner needs is known from its size; DivideSkip puts the longest lists aside, merges
@@ -20,6 +21,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,9 @@ from secondlook.llm.graph import components, contract
 WORDS, PERCENT = 5, 80
 MU = 0.01  # cost of probing a long list against merging it, as in the paper's rule for how many lists to put aside
 LEAST_BUCKETS = 48  # tasks that compare bucket keys; more only with the corpus, as a document of a large group has a link from each
+PART_BYTES = 16 << 20  # of text whose shingles one task counts
+SETS_BYTES = 4 << 20  # of sets whose buckets are made together
+SMALL = 200_000  # documents that may link: as many are broadcast, more are joined by a shuffle
 GROUP_SHINGLES = 4 << 20  # shingles that one task holds; a larger candidate group is split into blocks
 PROBE = 20_000  # entries of lists that are counted in about the time of probing one candidate
 RECENT = 4  # classes that a document is held against directly; the search that follows covers all others
@@ -59,6 +64,39 @@ def size_class(n: int, percent: int) -> int:
     return c
 
 
+def may_differ(n: int | np.ndarray, percent: int) -> bool | np.ndarray:
+    """Whether sets of ``n`` shingles can link with another than themselves."""
+    return (n > 0) & (100 * n >= percent * (n + 1))
+
+
+def dealt_shingles(sets: list[np.ndarray], parts: int) -> tuple[list[int], list[bytes], list[bytes]]:
+    """Parts that get some of the sets' shingles; for each, 32 bits of the shingles in the order of the sets, and how many are of each set."""
+    sizes = np.array([s.size for s in sets], np.int64)
+    mixed = unsigned_hash(np.concatenate([np.zeros(0, np.uint64), *sets]), 13)
+    part = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.uint32 if parts > 1 << 16 else np.uint16)
+    order = np.argsort(part, kind="stable")
+    own, owner = part[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    hashes = (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
+    edge = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), own.size) if own.size else np.zeros(1, np.int64)
+    spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+    return (own[edge[:-1]].tolist(), [hashes[a:b].tobytes() for a, b in spans],
+            [np.bincount(owner[a:b], minlength=len(sets)).astype(np.uint32).tobytes() for a, b in spans])
+
+
+def shared_counts(hashes: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """Of shingles dealt to one part, how many of each set's own stand in another set as well; equal 32 bits count as
+    equal shingles, so never too few."""
+    every = np.concatenate([np.zeros(0, np.uint32), *hashes])
+    ordered = np.sort(every)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    shared = np.zeros(every.size, bool)
+    if twice.size:
+        shared = twice[np.minimum(np.searchsorted(twice, every), twice.size - 1)] == every
+    ends = np.cumsum(np.concatenate([[0], *counts]).astype(np.int64))
+    upto = np.append(0, np.cumsum(shared))[ends]
+    return np.split(np.diff(upto), np.cumsum([c.size for c in counts])[:-1]) if counts else []
+
+
 def bucket_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     """Keys of a set: its content in each bucket, for its own size class and the next.
 
@@ -66,7 +104,7 @@ def bucket_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     they are linked only if equal.
     """
     n = shingles.size
-    if n == 0 or 100 * n < percent * (n + 1):
+    if not may_differ(n, percent):
         return np.zeros(0, np.uint64)
     own, out = size_class(n, percent), []
     for c in (own, own + 1):
@@ -203,26 +241,78 @@ def _classes(df: DataFrame, words: int, percent: int, doc_id: str, text: str) ->
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), no_text(text).alias("text"), F.xxhash64(text).alias("place"))
 
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(LEAST_BUCKETS, size // PART_BYTES)
+
     def head(batch: pa.RecordBatch) -> dict:
         sets = [shingle_set(raw, words) for raw in texts_of(batch.column(1))]
         known = [i is not None for i in batch.column(0).to_pylist()]
-        return {"doc_id": batch.column(0), "place": batch.column(2), "n_shingles": pa.array([s.size for s in sets], pa.int64()),
-                "digest": binary_array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.size and k else None for s, k in zip(sets, known)]),
-                "keys": binary_array([bucket_keys(s, percent).tobytes() if k else b"" for s, k in zip(sets, known)])}
+        digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.size and k else None for s, k in zip(sets, known)]
+        sent = [s if k and may_differ(s.size, percent) else s[:0] for s, k in zip(sets, known)]
+        part, hashes, counts = dealt_shingles(sent, parts)
+        told = hashlib.blake2b(repr([batch.column(0).to_pylist(), batch.column(2).to_pylist(), digests]).encode(), digest_size=8).digest()
+        chunk, none = int.from_bytes(told, "little", signed=True), [None] * len(part)  # the same for the same rows
+        rows = {"doc_id": batch.column(0).to_pylist(), "place": batch.column(2).to_pylist(), "n_shingles": [s.size for s in sets], "digest": digests}
+        return {"part": pa.array([*part, chunk % parts], pa.int64()), "chunk": pa.array([chunk] * (len(part) + 1), pa.int64()),
+                "hashes": binary_array([*hashes, None]), "counts": binary_array([*counts, None]),
+                **{n: pa.array([*none, v], pa.list_(k)) for (n, v), k in zip(rows.items(), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))}}
+
+    listed = "doc_id array<long>, place array<long>, n_shingles array<long>, digest array<binary>"
+
+    def count(group: pa.Table) -> pa.Table:
+        sent = group.filter(pc.is_valid(group.column("hashes")))
+        found = shared_counts(*([np.frombuffer(x, np.uint32) for x in sent.column(c).to_pylist()] for c in ("hashes", "counts")))
+        rest = group.filter(pc.is_null(group.column("hashes"))).drop_columns(["part", "hashes"])
+        out = {"chunk": sent.column("chunk").combine_chunks(), "counts": binary_array([x.astype(np.uint32).tobytes() for x in found])}
+        made = pa.table({f.name: out.get(f.name, pa.nulls(len(found), f.type)) for f in rest.schema}, schema=rest.schema)
+        return pa.concat_tables([made, rest])
+
+    def assemble(group: pa.Table) -> pa.Table:
+        rows = group.filter(pc.is_null(group.column("counts")))  # several if whole batches are equal: then so are their counts
+        sizes = np.array(rows.column("n_shingles")[0].as_py(), np.int64)
+        shared = np.zeros(sizes.size, np.int64)
+        for x in group.column("counts").to_pylist():
+            shared += 0 if x is None else np.frombuffer(x, np.uint32)
+        may = (sizes > 0) & (100 * (shared // rows.num_rows) >= percent * sizes) & may_differ(sizes, percent)
+        out = {c: pc.list_flatten(rows.column(c).combine_chunks()) for c in ("doc_id", "place", "n_shingles", "digest")}
+        return pa.table({**out, "may_link": pa.array(np.tile(may, rows.num_rows))})
+
+    sent = map_arrow(docs, head, f"part long, chunk long, hashes binary, counts binary, {listed}")
+    counted = sent.groupBy("part").applyInArrow(count, f"chunk long, counts binary, {listed}")
+    heads = stage(counted.groupBy("chunk").applyInArrow(assemble, "doc_id long, place long, n_shingles long, digest binary, may_link boolean"), "sets")
+
+    # One document stands for each distinct set; only those that share enough shingles with any other row travel with their sets.
+    known = heads.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest", "may_link")
+    standing = stage(known.groupBy("digest").agg(F.min("doc_id").alias("standing")), "standing")
+    wanted = stage(known.where("may_link").groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "wanted")
+    if wanted.limit(SMALL + 1).count() <= SMALL:
+        wanted = F.broadcast(wanted)
+
+    def sets_of(batch: pa.RecordBatch) -> dict | None:
+        rows = []
+        for raw, i, g, node in zip(*(c.to_pylist() for c in batch.columns)):
+            own = shingle_set(raw.encode(), words)
+            if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == g:  # not another text with this id
+                rows.append((i, g, node, own.size, own.tobytes()))
+        if not rows:
+            return None
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+        return {n: pa.array(list(c), k) for n, c, k in zip(("doc_id", "digest", "node", "n_shingles", "shingles"), zip(*rows), kinds)}
 
-    heads = stage(map_arrow(docs, head, "doc_id long, place long, n_shingles long, digest binary, keys binary"), "sets")
-    total = heads.agg(F.sum("n_shingles")).first()[0] or 0
+    sets = stage(map_arrow(docs.join(wanted, "doc_id").select("text", "doc_id", "digest", F.xxhash64("digest").alias("node")), sets_of,
+                           "doc_id long, digest binary, node long, n_shingles long, shingles binary"), "sets")
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, total // (4 << 20))
 
     def deal(batch: pa.RecordBatch) -> dict | None:
-        digests, ids, packed = (batch.column(c).to_pylist() for c in ("digest", "doc_id", "keys"))
         least: dict[bytes, tuple[int, bytes]] = {}
         links = []
-        for g, i, k in zip(digests, ids, packed):  # equal sets are one entry
-            if g is not None and k:
-                if g in least:
-                    links.append((max(i, least[g][0]), min(i, least[g][0])))
-                least[g] = min((i, k), least.get(g, (i, k)))
+        for i, g, s in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "shingles"))):  # equal sets are one entry
+            if g in least:
+                links.append((max(i, least[g][0]), min(i, least[g][0])))
+                least[g] = (min(i, least[g][0]), least[g][1])
+            else:
+                least[g] = (i, bucket_keys(np.frombuffer(s, np.uint64), percent).tobytes())
         if not least:
             return None
         keys = np.frombuffer(b"".join(k for _, k in least.values()), np.uint64)
@@ -241,14 +331,11 @@ def _classes(df: DataFrame, words: int, percent: int, doc_id: str, text: str) ->
         a, b = _contracted(np.concatenate([a, of(1, True, np.int64)]), np.concatenate([b, of(2, True, np.int64)]))
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    dealt = map_arrow(heads.select("doc_id", "digest", "keys"), deal, "bucket long, final boolean, keys binary, documents binary")
+    dealt = map_arrow(sets.select("doc_id", "digest", "shingles"), deal, "bucket long, final boolean, keys binary, documents binary", SETS_BYTES)
     groups = components(dealt.groupBy("bucket").applyInArrow(join, "a long, b long"))
 
-    # One document stands for each distinct set; a group of one set has nothing to compare.
-    known = heads.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest")
-    standing = stage(known.groupBy("digest").agg(F.min("doc_id").alias("standing")), "standing")
-    members = standing.join(groups, F.col("standing") == F.col("node")).select(F.col("standing").alias("doc_id"), "digest", "label")
-    members = members.join(known.select("digest", "n_shingles").distinct(), "digest")
+    # A group of one set has nothing to compare.
+    members = sets.select("doc_id", "digest", "n_shingles").distinct().join(groups, F.col("doc_id") == F.col("node")).select("doc_id", "digest", "label", "n_shingles")
     weights = members.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("group_weight")).where("sets > 1").drop("sets")
     # Linked sets lie in one size class or in neighbouring ones (a little wider than ``size_class``): those of a large group
     # go to the tasks of two classes, and only a pair of classes too large for a task is split into blocks that meet pairwise.
@@ -263,21 +350,7 @@ def _classes(df: DataFrame, words: int, percent: int, doc_id: str, text: str) ->
     large = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.concat_ws("-", F.lit("l"), "label", "span", F.least(k, F.col("block")), F.greatest(k, F.col("block"))))
     members = members.join(weights.select("label", "span", blocks.alias("blocks")), ["label", "span"]).withColumn("block", block)
     members = members.groupBy("doc_id", "digest", "label").agg(F.flatten(F.collect_list(F.when(F.col("span") < 0, small).otherwise(large))).alias("tasks"))
-    members = members.select("doc_id", "digest", F.xxhash64("digest").alias("node"), "label", "tasks")
-
-    def sets_of(batch: pa.RecordBatch) -> dict | None:
-        rows = []
-        for raw, g, node, label, where in zip(*(c.to_pylist() for c in batch.columns)):
-            own = shingle_set(raw.encode(), words)
-            if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == g:  # not another text with this id
-                rows.append((node, label, where, own.tobytes()))
-        if not rows:
-            return None
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.binary()]
-        return {n: pa.array(list(c), k) for n, c, k in zip(("node", "label", "tasks", "shingles"), zip(*rows), kinds)}
-
-    carried = map_arrow(docs.join(members, "doc_id").select("text", "digest", "node", "label", "tasks"), sets_of,
-                        "node long, label long, tasks array<string>, shingles binary")
+    carried = sets.join(members.select("digest", "label", "tasks"), "digest").select("node", "label", "shingles", "tasks")
 
     def compare(group: pa.Table) -> pa.Table:
         whole = group.column("task")[0].as_py().startswith("s")

@@ -247,3 +247,35 @@ def test_sets_of_a_large_group_go_to_two_size_classes(spark, monkeypatch):
     assert result(df, words=3, percent=90) == brute(rows, 3, 90)
     sets, rows_sent = sent[0].select("node").distinct().count(), sent[0].count()
     assert sets > 60 and rows_sent < 3 * sets
+
+
+def test_only_sets_that_share_enough_shingles_get_buckets(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=120)) for _ in range(60)]
+    texts += [x.replace(" ", " q ", 1) for x in texts[:5]] + [texts[7], "", None, "one two"]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").repartition(3)
+    calls = spark.sparkContext.accumulator(0)
+    keys_of = jaccard.bucket_keys
+
+    def counted(shingles, percent):
+        calls.add(1)
+        return keys_of(shingles, percent)
+
+    monkeypatch.setattr(jaccard, "bucket_keys", counted)
+    got = {r.doc_id: r.component_id for r in jaccard.classes(df, 3, 90).collect() if r.doc_id is not None}
+    assert {i: c for i, c in got.items() if i != c} == {**{60 + k: k for k in range(5)}, 65: 7}
+    assert 10 <= calls.value <= 2 * 11  # five pairs, and the text that has a copy; 60 sets before
+
+
+def test_shared_counts_are_never_too_few():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 400, k).astype(np.uint64)) for k in (0, 1, 50, 200, 0, 30)]
+    sent = [jaccard.dealt_shingles(x, 7) for x in (sets[:3], sets[3:], [])]
+    total = [np.zeros(3, np.int64), np.zeros(3, np.int64)]
+    for p in range(7):
+        rows = [(c, np.frombuffer(h, np.uint32), np.frombuffer(n, np.uint32)) for c, x in enumerate(sent) for q, h, n in zip(*x) if q == p]
+        for (c, _, _), found in zip(rows, jaccard.shared_counts([h for _, h, _ in rows], [n for _, _, n in rows])):
+            total[c] += found
+    every = np.concatenate(sets)
+    want = [sum((every == t).sum() > 1 for t in s) for s in sets]
+    assert np.concatenate(total).tolist() == want and jaccard.shared_counts([], []) == []
