@@ -281,6 +281,26 @@ def test_grid_accuracy_equals_spark_ml(spark):
     assert elasticnet.cross_validated_accuracy(encoded, settings, 3) == pytest.approx(want)
 
 
+def test_sums_of_grid_models(spark, monkeypatch):
+    """Sums of every model over its training rows, also where the odds are beyond a product; equal models are summed once."""
+    rng = np.random.default_rng(5)
+    x, label, fold = rng.normal(size=(700, 3)), rng.integers(0, 2, 700), rng.integers(0, 4, 700)
+    ready = spark.createDataFrame([(int(f), float(y), v.tolist()) for f, y, v in zip(fold, label, x)], "fold int, label double, x array<double>")
+    points = np.repeat(np.array([[0.0] * 4, [0.3, -1, 2, 0.5], [5, 90, -60, 40]]), 4, axis=0)
+    counted, summed = [], elasticnet.summed
+    monkeypatch.setattr(elasticnet, "summed", lambda *a: counted.append(summed(*a)) or counted[-1])
+    for point, models in ((points, 12), (np.zeros((12, 4)), 4)):
+        loss, slope, curve = elasticnet._sums(ready, point, 4, np.zeros(3), np.ones(3))
+        assert counted[-1].size == (1 + 4 + 10) * models
+        for m, b in enumerate(point):
+            own = np.hstack([np.ones((700, 1)), x])[fold != m % 4]
+            y, eta = label[fold != m % 4], own @ b
+            p = 1 / (1 + np.exp(-eta))
+            assert np.isclose(loss[m], (np.logaddexp(0, eta) - y * eta).sum(), rtol=1e-12)
+            assert np.allclose(slope[m], own.T @ (p - y), rtol=1e-10, atol=1e-9)
+            assert np.allclose(curve[m], (own * (p * (1 - p))[:, None]).T @ own, rtol=1e-10, atol=1e-9)
+
+
 def test_parameter_grid(spark):
     grid = elasticnet.parameter_grid(spark.range(1)).drop("id")
     assert grid.distinct().count() == 140
