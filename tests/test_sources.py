@@ -1,8 +1,12 @@
 """Text extract, catalogue, stages and sinks."""
 
+import time
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
-from secondlook.session import stage, stage_path
+from secondlook.session import SHUFFLE_CLEANUP, stage, stage_path
 from secondlook.sources import tables as IO
 
 
@@ -33,6 +37,21 @@ def test_stage_and_sink(spark, tmp_path):
         IO.write_parts(df, path, "fold")  # a finished result is never overwritten
 
 
+def test_a_stage_leaves_no_shuffle_files(spark):
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffled():
+        return {p for d in folders for p in Path(d).rglob("shuffle_*.data")}
+    before = shuffled()
+    df = spark.range(200_000).select(F.xxhash64("id").alias("key")).groupBy("key").count()
+    assert stage(df).count() == 200_000 and spark.conf.get(SHUFFLE_CLEANUP, "false") == "false"
+    until = time.monotonic() + 20
+    while (left := [p for p in shuffled() - before if p.exists() and p.stat().st_size > 100_000]) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not left
+    assert df.count() == 200_000  # can be computed again
+
+
 def test_stage_folder_comes_from_the_session(spark):
     assert stage_path(spark, "a").startswith(spark.conf.get("spark.checkpoint.dir"))
 
